@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontamination, quality, simhash, token_counts
+from quern.llm import bpe, decontamination, html, pii, quality, simhash, token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,11 +19,26 @@ def hex16(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
+def of_kind(spans: str, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
+def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(of_kind("_base", kind)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    every = F.concat("_base", of_kind("_terms", "generalise"), of_kind("_terms", "remove"))
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("_base")), 256).alias("base_sha256"), pii.written(every).alias("spans"))
+
+
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -44,4 +59,4 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("ratio", "bad_chunks")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_pigeonring, op5_bpe_prefix_trie, op6_token_counts, op7_decontamination, op10_compression_bands)}
+QUERIES = {f.__name__: f for f in (op2_pii_disclosure, op3_simhash_pigeonring, op4_tag_path_ratios, op5_bpe_prefix_trie, op6_token_counts, op7_decontamination, op10_compression_bands)}
