@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontamination, html, pii, quality, simhash, token_counts
+from quern.llm import bpe, decontamination, html, pii, quality, simhash, suffix_array, suffix_tree, token_counts
+from quern.llm.common import stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -55,8 +56,33 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def lost() -> Column:
+    """Units inside the ranges starts[i]:stops[i]."""
+    return F.aggregate(F.arrays_zip("starts", "stops"), F.lit(0).cast("long"), lambda acc, x: acc + x["stops"] - x["starts"])
+
+
+def op8_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, texts, kept = suffix_array.deduplicated(table(spark, sf_dir, "documents"))
+    some = kept.select("sha", lost().alias("n_lost"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha")).dropDuplicates(["sha"])
+    told = texts.filter("copies > 1").select("sha", F.lit(True).alias("all"), F.lit(0).cast("long").alias("n_lost"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha"))
+    told = stored(told.unionByName(some.withColumn("all", F.lit(False))), "told")
+    n_removed = F.when(F.col("all"), F.col("n_bytes")).otherwise(F.coalesce("n_lost", F.lit(0)))
+    joined = rows.join(told, "sha", "left")
+    return joined.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+
+
+def op9_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, texts, kept = suffix_tree.deduplicated(table(spark, sf_dir, "documents"))
+    some = kept.select("sha", lost().alias("n_lost"), F.sha2("kept", 256).alias("kept_sha")).dropDuplicates(["sha"])
+    told = stored(texts.select("sha", "rep").join(some, "sha", "left"), "told")
+    copy, own = F.col("doc_id") > F.col("rep"), F.col("doc_id") == F.col("rep")
+    n_removed = F.when(copy, F.col("n_words")).when(own, F.coalesce("n_lost", F.lit(0))).otherwise(0)
+    kept_sha = F.when(copy, F.sha2(F.lit(""), 256)).when(own, F.coalesce("kept_sha", "sha")).otherwise(F.col("sha"))
+    return rows.join(told, "sha", "left").select("doc_id", "n_words", n_removed.cast("long").alias("n_removed"), kept_sha.alias("kept_sha256"))
+
+
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("ratio", "bad_chunks")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_disclosure, op3_simhash_pigeonring, op4_tag_path_ratios, op5_bpe_prefix_trie, op6_token_counts, op7_decontamination, op10_compression_bands)}
+QUERIES = {f.__name__: f for f in (op2_pii_disclosure, op3_simhash_pigeonring, op4_tag_path_ratios, op5_bpe_prefix_trie, op6_token_counts, op7_decontamination, op8_deep_shallow, op9_prefix_suffix_trees, op10_compression_bands)}
