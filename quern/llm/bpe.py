@@ -31,7 +31,9 @@ from quern.llm.common import plus, slices, strings
 # Fixed value: how byte-level vocabularies split text into words before the merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A worker's cache of word encodings starts anew beyond so many bytes of words and ids.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
+#: So many answers about token borders are remembered, about 60 MB.
+APART_MOST = 300_000
 
 
 def printable() -> dict[str, int]:
@@ -94,7 +96,7 @@ class Vocabulary:
                     due, y = by[0] + 1, by[1]
                 else:
                     break
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > APART_MOST:
                 self.apart.clear()
             self.apart[a, b] = known
         return known
@@ -180,41 +182,68 @@ def encode(docs: DataFrame, path: str, column: str = "text", out: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in slices(batches, column):
-            found = v.encode(strings(batch, column))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+        for batch in slices(batches, column, 2 << 20):
+            lists = listed(v.encode(strings(batch, column)))[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
 
     return kept.mapInArrow(run, schema)
 
 
+class Decoder:
+    """Gathers the bytes of ids from one table of all tokens' bytes."""
+
+    def __init__(self, v: Vocabulary):
+        size = max(v.bytes) + 1
+        tokens = [v.bytes.get(i, b"") for i in range(size)]
+        self.lengths = np.array(list(map(len, tokens)), np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def __call__(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of ids[bounds[i]:bounds[i + 1]]; broken UTF-8 becomes U+FFFD."""
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        at = np.repeat(self.starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        data, edge = self.blob[at].tobytes(), np.concatenate([[0], ends])[bounds]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(edge[:-1], edge[1:])]  # noqa: B905
+
+
+@lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(vocabulary(path))
+
+
+def listed(found: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """An Arrow list array of ids, with the flat ids and their bounds."""
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    ids = np.concatenate(found)
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), ids, bounds
+
+
 def decode(encoded: DataFrame, path: str, column: str = "ids", out: str = "decoded") -> DataFrame:
-    """encoded with a string column `out`: the text of the ids in `column`. Broken UTF-8 becomes U+FFFD."""
+    """encoded with a string column `out`: the text of the ids in `column`."""
     kept = encoded.drop(out)
     schema = plus(kept.schema, out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        size = max(v.bytes) + 1
-        lengths = np.array([len(v.bytes.get(i, b"")) for i in range(size)], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        blob = np.frombuffer(b"".join(v.bytes.get(i, b"") for i in range(size)), np.uint8)
+        text = decoder(path)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(column))
             bounds = np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in lists])])
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            n = lengths[ids]
-            ends = np.cumsum(n)
-            at = np.repeat(starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-            data, edge = blob[at].tobytes(), np.concatenate([[0], ends])[bounds]
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(edge[:-1], edge[1:])]  # noqa: B905
+            texts = text(lists.flatten().to_numpy(zero_copy_only=False), bounds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return kept.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded for each row of docs(doc_id, text)."""
+    """doc_id, ids and decoded for each row of docs(doc_id, text), in one pass; decoded comes from the ids alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, text = vocabulary(path), decoder(path)
+        for batch in slices(batches, most=2 << 20):
+            lists, ids, bounds = listed(v.encode(strings(batch)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(text(ids, bounds), pa.string())], names=["doc_id", "ids", "decoded"])
+
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return decode(encode(plain, path).drop("text"), path)
+    return plain.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
