@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower, stored
+from quern.llm.common import WS, ascii_lower, stored
 
 # The kinds in order, with the pattern of each.
 PATTERNS = {
@@ -100,9 +100,9 @@ def terms_of(piece: Column) -> Column:
 def surroundings(text: Column, span: Column, reach: int) -> Column:
     """What stands within `reach` characters of a span, without words cut at the far ends; both sides apart."""
     left = F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach)))
-    left = F.when(span["start"] > reach, F.regexp_replace(left, r"^[^\s]*", "")).otherwise(left)
+    left = F.when(span["start"] > reach, F.regexp_replace(left, rf"^[^{WS}]*", "")).otherwise(left)
     right = F.substring(text, span["stop"] + 1, F.lit(reach))
-    right = F.when(F.length(text) > span["stop"] + reach, F.regexp_replace(right, r"[^\s]*$", "")).otherwise(right)
+    right = F.when(F.length(text) > span["stop"] + reach, F.regexp_replace(right, rf"[^{WS}]*\z", "")).otherwise(right)
     return F.concat(ascii_lower(left), F.lit("\n"), ascii_lower(right))
 
 
@@ -126,11 +126,21 @@ def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
     places = near.groupBy("entity", "term", "place").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("places"))
     pairs = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
     both = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
-    known = stored(places.filter(F.col("places") >= policy.surroundings).select("entity", "term").join(both, ["entity", "term"]), "pairs")
+    entities = seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_docs = seen.count()
+
+    def share(n_term: str) -> Column:
+        told = F.log(F.lit(n_docs) * F.col("n_both") / (F.col("n_entity") * F.col(n_term))) / F.log(F.lit(n_docs) / F.col("n_entity"))
+        return F.when(F.col("n_entity") < n_docs, told).otherwise(0.0)
+
+    # a term is in at least the documents where it stands near any entity, so these bound its disclosure from above:
+    # words that stand near many entities are out before the corpus is counted
+    around = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    some = places.filter(F.col("places") >= policy.surroundings).select("entity", "term")
+    known = some.join(both, ["entity", "term"]).join(entities, "entity").join(around, "term").filter(share("n_near") >= policy.generalise)
+    known = stored(known, "pairs")
     if known.isEmpty():
         return known.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    n_docs = seen.count()
-    entities = seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     wanted = stored(known.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(terms_of(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))))).alias("term"))
     few = within(wanted)
@@ -138,9 +148,7 @@ def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
         words = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     else:
         words = words.join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    share = F.log(F.lit(n_docs) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(n_docs) / F.col("n_entity"))
-    told = known.join(entities, "entity").join(words, "term")
-    return told.select("entity", "term", F.when(F.col("n_entity") < n_docs, share).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= policy.generalise)
+    return known.join(words, "term").select("entity", "term", share("n_term").alias("disclosure")).filter(F.col("disclosure") >= policy.generalise)
 
 
 def revealing(docs: DataFrame, policy: Policy) -> DataFrame | None:
