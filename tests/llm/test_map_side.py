@@ -183,6 +183,23 @@ def test_groups_of_fingerprints(spark, monkeypatch, limit):
     assert [by[p] for p in prints] == plain_groups(prints)
 
 
+def test_runs_beyond_the_limit():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    near = sorted({(1 << 40) ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)})
+    rows = [(5, rng.getrandbits(60)) for _ in range(3)] + [(7, x) for x in near] + [(9, 1), (9, 3)]
+    batches = lambda n: [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + n]]), pa.array([f for _, f in rows[i : i + n]])], names=["key", "fp"]) for i in range(0, len(rows), n)]
+    for n in (10, 1000):
+        out = [r for b in simhash.compare_runs(iter(batches(n)), limit=50) for r in b.to_pylist()]
+        assert sorted(r["b"] for r in out if r["hot"]) == near and all(r["a"] == 7 for r in out if r["hot"])
+        assert [(r["a"], r["b"]) for r in out if not r["hot"]] == [(3, 1)]
+    all_at_once = [r for b in simhash.compare_runs(iter(batches(1000)), limit=5000) for r in b.to_pylist()]
+    assert {r["a"] for r in all_at_once} == {*near[1:], 3} and not any(r["hot"] for r in all_at_once)
+    assert len(simhash.close(np.array([0, 0], np.uint64), np.array([7, 15], np.uint64), np.zeros(2, np.int64))) == 1
+
+
 def test_one_of_each(spark):
     a, b = "the quick brown fox jumps over the lazy dog " * 5, "something else entirely is written here for once " * 4
     docs = spark.createDataFrame([(5, a, "p"), (3, a, "q"), (7, b, "r"), (7, b, "r"), (None, b, "s"), (None, None, "t"), (9, "", "u")], "doc_id long, text string, root string")

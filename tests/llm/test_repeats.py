@@ -92,6 +92,47 @@ def test_repeats(spark, tmp_path, monkeypatch, seed, small):
     assert sorted(got, key=key) == sorted(plain_bytes(rows), key=key)
 
 
+def passages_of(units, texts):
+    """All windows of the texts as passages, each text its own document."""
+    runs = units.runs(texts)
+    content = [texts[t][a:b] for t, a, b in zip(runs.text, runs.start, runs.stop)]
+    return anchors.Passages(runs.text, runs.text, runs.first, runs.last, runs.place - runs.first, runs.gram, content)
+
+
+def covered(found, texts):
+    out = set()
+    for tid, a, b in zip(*found):
+        out |= {(int(tid), i) for i in range(a, b)}
+    return out
+
+
+def test_limits_change_nothing(monkeypatch):
+    texts = list(dict.fromkeys((t or "").encode() for _, t in corpus(3)))
+    for units, solver in ((anchors.Words(13, 4), suffix_tree), (anchors.Bytes(200, 48), suffix_array)):
+        whole = passages_of(units, texts)
+        every = covered(solver.solve(whole.take(solver.settle(whole)[0])), texts) | covered(solver.settle(whole)[1], texts)
+        monkeypatch.setattr(anchors, "PIECE", 150 if solver is suffix_tree else 700)
+        monkeypatch.setattr(suffix_tree, "GROUP", 3)
+        monkeypatch.setattr(suffix_array, "PAIRS", 1)
+        cut = passages_of(units, texts)
+        assert covered(solver.solve(cut.take(solver.settle(cut)[0])), texts) | covered(solver.settle(cut)[1], texts) == every and every
+        monkeypatch.undo()
+
+
+def test_anchors_are_shared_by_equal_windows():
+    rng = random.Random(9)
+    common_part = bytes(rng.choices(b"abc ", k=230))
+    texts = [bytes(rng.choices(b"abc ", k=rng.randint(0, 300))) + common_part + bytes(rng.choices(b"abc ", k=rng.randint(0, 300))) for _ in range(20)]
+    r = anchors.Bytes(200, 48).runs(texts)
+    for i, t in enumerate(texts):
+        at = t.index(common_part)
+        mine = {(int(g), int(p) - at) for k, g, p, f, last in zip(r.text, r.gram, r.place, r.first, r.last) if k == i and f <= at + 15 <= last}
+        assert len(mine) == 1
+        if i:
+            assert mine == before  # noqa: F821
+        before = mine  # noqa: F841
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op8_deep_shallow(spark, str(tmp_path)).count() == queries.op9_prefix_suffix_trees(spark, str(tmp_path)).count() == 0
