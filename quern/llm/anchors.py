@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import input_bytes, raw, slices, stored
+from quern.llm.common import arrow, input_bytes, raw, slices, stored
 
 BASE, GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PLACE_BITS = 24  # of a value in the search for the smallest hash; the rest is hash
@@ -300,8 +300,8 @@ def candidates(docs: DataFrame, units: Units, alone: bool) -> DataFrame:
             yield from packed([(int(tid[a]), np.unique(gram[a:b]).tobytes()) for a, b in zip(cut, cut[1:])], LISTED)  # noqa: B905
 
     kind = "bucket long, settled boolean, tids binary, grams binary"
-    found = together(docs.select("text").mapInArrow(find, kind)).mapInArrow(repeated, kind)
-    return together(found).mapInArrow(gathered, "tid long, grams binary")
+    found = arrow(together(arrow(docs.select("text"), find, kind)), repeated, kind)
+    return arrow(together(found), gathered, "tid long, grams binary")
 
 
 def buckets(docs: DataFrame) -> int:
@@ -425,5 +425,6 @@ def repeated_ranges(docs: DataFrame, reps: DataFrame, units: Units, settle: Sett
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(tid)) + 1, [len(tid)]])
             yield from packed([(int(tid[a]), start[a:b].astype(np.int32).tobytes(), stop[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:])], schema)  # noqa: B905
 
-    found = together(together(texts.mapInArrow(cut, PASSAGE_DDL)).mapInArrow(compare, PASSAGE_DDL)).mapInArrow(merged, "tid long, starts binary, stops binary")
+    passages = together(arrow(texts, cut, PASSAGE_DDL))
+    found = arrow(together(arrow(passages, compare, PASSAGE_DDL)), merged, "tid long, starts binary, stops binary")
     return stored(found, "ranges")

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,25 +41,34 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema), with this package sent to the executors first, once for each application."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        package = Path(__file__).parents[1]
+        folder = Path(tempfile.mkdtemp(prefix="quern-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(folder / "quern_package.zip", "w") as z:
+            for f in package.rglob("*.py"):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(folder / "quern_package.zip"))
+    return df.mapInArrow(run, schema)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the size of df in bytes (the file sizes, for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts(df: DataFrame) -> int:
-    """Shuffle partitions for a frame: the session's setting."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def plus(schema: StructType, name: str, kind: str) -> StructType:
     """A new schema with one more column."""
     return StructType([*schema.fields, StructField(name, DataType.fromDDL(kind))])
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import raw, slices
+from quern.llm.common import arrow, raw, slices
 
 WINDOW = 13
 #: Bytes of benchmark text in a block.
@@ -103,7 +103,7 @@ def word_counts(docs: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
             total.update({w: words[w] for w in words.keys() & shared.value})
         yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    found = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in found.collect()}
 
 
@@ -132,7 +132,7 @@ def marks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes
 
         passes.append((plain, run))
     if len(passes) == 1:
-        return plain.mapInArrow(passes[0][1], SCHEMA)
+        return arrow(plain, passes[0][1], SCHEMA)
     return merged(plain, [f for _, f in passes])
 
 
@@ -153,7 +153,7 @@ def merged(plain: DataFrame, runs: list) -> DataFrame:
 
     every = None
     for run in runs:
-        one = plain.mapInArrow(with_sha(run), SCHEMA + ", sha string")
+        one = arrow(plain, with_sha(run), SCHEMA + ", sha string")
         every = one if every is None else every.union(one)
     sets = every.groupBy("doc_id", "sha").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     low = F.array_sort("ranges")
@@ -194,4 +194,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int
                 keep.append(not (n and n * share >= len(words)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import raw, slices
+from quern.llm.common import arrow, raw, slices
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -115,7 +115,8 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in judge(batch, bands, squeeze))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow(plain, run, SCHEMA)
 
 
 def accepted(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -126,4 +127,4 @@ def accepted(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         for batch in slices(batches):
             yield batch.filter(pa.array(judge(batch, bands, squeeze)[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

@@ -18,6 +18,7 @@ make one shingle; null doc_ids are never component ids unless a whole component
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import plus, raw, slices, stored
+from quern.llm.common import arrow, plus, raw, slices, stored
 from quern.llm.components import components
 
 SEGMENTS, BITS, DISTANCE, WORDS, SEED = 8, 8, 3, 3, 42
@@ -73,7 +74,7 @@ def with_fingerprints(docs: DataFrame, out: str = "fp") -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_array(raw(batch)))], names=[*batch.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return arrow(kept, run, schema)
 
 
 def ring_keys(fp: Column) -> Column:
@@ -130,8 +131,8 @@ def forest(fps: np.ndarray, run: np.ndarray, start: np.ndarray, other: np.ndarra
 PAIRS = "a long, b long, hot boolean"
 
 
-def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by both -> links (a, b, false), and the rows of runs beyond LIMIT as (key, fp, true)."""
+def compare_runs(batches: Iterator[pa.RecordBatch], limit: int = LIMIT) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by both -> links (a, b, false), and the rows of runs beyond `limit` as (key, fp, true)."""
     keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
     hot_key = None
 
@@ -142,7 +143,7 @@ def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         sizes = np.diff(np.concatenate([[0], change, [len(keys)]]))
         size = np.repeat(sizes, sizes)
-        large = size > LIMIT
+        large = size > limit
         if large.any():
             yield out(keys[large], fps[large], True)
         some = np.flatnonzero((size > 1) & ~large)
@@ -168,7 +169,7 @@ def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(np.searchsorted(keys, keys[-1], side="left"))
         yield from finish(keys[:last], fps[:last])
         keys, fps = keys[last:], fps[last:]
-        if len(keys) > LIMIT:
+        if len(keys) > limit:
             hot_key = keys[-1]
             yield out(keys, fps, True)
             keys, fps = keys[:0], fps[:0]
@@ -203,13 +204,14 @@ def hot_links(hot: DataFrame) -> DataFrame:
     block = hot.join(n, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")))
     pairs = block.withColumn("peer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pairs = pairs.select("key", F.least("block", "peer").alias("one"), F.greatest("block", "peer").alias("two"), "block", "fp")
-    return pairs.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "fp").mapInArrow(compare_blocks, PAIRS)
+    dealt = pairs.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "fp")
+    return arrow(dealt, compare_blocks, PAIRS)
 
 
 def links(fps: DataFrame) -> DataFrame:
     """fps(fp), distinct -> (a, b): links that join exactly the fingerprints at 3 or fewer differing bits into groups."""
     keyed = fps.select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp")
-    found = stored(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(compare_runs, PAIRS), "links")
+    found = stored(arrow(keyed.repartition("key").sortWithinPartitions("key", "fp"), partial(compare_runs, limit=LIMIT), PAIRS), "links")
     out = found.filter("not hot").select("a", "b")
     hot = found.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     return out if hot.isEmpty() else out.union(stored(hot_links(hot), "hot-links").select("a", "b"))

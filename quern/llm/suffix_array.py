@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.anchors import Bytes, Passages, repeated_ranges, tid_of
-from quern.llm.common import raw, slices, stored
+from quern.llm.common import arrow, raw, slices, stored
 
 SIZE, GRAM = 200, 48
 REST = SIZE - GRAM
@@ -243,7 +243,7 @@ def kept_texts(keyed: DataFrame, reps: DataFrame, ranges: DataFrame) -> DataFram
             columns = [batch.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32())), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["sha", "starts", "stops", "kept"])
 
-    return texts.mapInArrow(run, KEPT)
+    return arrow(texts, run, KEPT)
 
 
 def deduplicated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

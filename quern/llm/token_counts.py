@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_lengths, slices, strings
+from quern.llm.common import arrow, byte_lengths, slices, strings
 
 #: Bytes of text in a batch for the library, and of the pieces whose lengths a worker remembers.
 BATCH_BYTES = 1 << 20
@@ -93,4 +93,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 known, size = {}, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow(plain, run, SCHEMA)
