@@ -109,8 +109,10 @@ base AS (
     ELSE length({_DIGITS}) BETWEEN 8 AND 15 END),
 sides AS (
   SELECT row_id, kind || ':' || lower(value) AS entity,
-    CASE WHEN a > 48 THEN regexp_replace(substr(text, a - 47, 48), '^[^ 	-]*', '') ELSE substr(text, 1, a) END AS l,
-    CASE WHEN length(text) > b + 48 THEN regexp_replace(substr(text, b + 1, 48), '[^ 	-]*$', '') ELSE substr(text, b + 1, 48) END AS r
+    CASE WHEN a > 48 THEN regexp_replace(substr(text, a - 47, 48), '^[^ 	-
+]*', '') ELSE substr(text, 1, a) END AS l,
+    CASE WHEN length(text) > b + 48 THEN regexp_replace(substr(text, b + 1, 48), '[^ 	-
+]*$', '') ELSE substr(text, b + 1, 48) END AS r
   FROM base),
 around AS (SELECT row_id, entity, {_LOWER.format("l")} || chr(10) || {_LOWER.format("r")} AS place FROM sides),
 near AS (SELECT DISTINCT row_id, entity, place, unnest(regexp_extract_all(place, '{_LETTERS}{{4,}}')) AS term FROM around),
@@ -145,3 +147,42 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
 FROM d LEFT JOIN sums USING (row_id)
 """
+
+ORACLES["op1_revisit_asof"] = r"""
+WITH p AS (
+  SELECT page_id, html, url, CASE WHEN page_id % 3 = 0 THEN url || '#top' ELSE regexp_replace(url, '^http://', 'HTTP://') END AS other,
+    '"' || substr(md5(html), 1, 16) || '"' AS tag FROM pages),
+both_kinds AS (
+  SELECT page_id * 2 AS record_id, url AS uri, 1700000000 + page_id * 61 AS at, true AS is_full, page_id, html, tag FROM p
+  UNION ALL
+  SELECT page_id * 2 + 1, other, 1700000000 + page_id * 61 + (page_id % 5) * 40000 + 7, false, page_id, html, tag FROM p),
+cut AS (
+  SELECT *, regexp_replace(trim(uri), '#.*$', '') AS u FROM both_kinds),
+parts AS (
+  SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+    lower(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1), '^.*@', '')) AS host,
+    regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(?:utm_[a-z]+|gclid|fbclid|phpsessid|jsessionid|sid)(?:=|$)'))), '&') AS query
+  FROM cut),
+named AS (
+  SELECT *, CASE WHEN scheme = '' THEN u ELSE scheme || '://' ||
+      CASE scheme WHEN 'http' THEN regexp_replace(host, ':(?:80)?$', '') WHEN 'https' THEN regexp_replace(host, ':(?:443)?$', '') ELSE host END ||
+      CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canon
+  FROM parts),
+found AS (
+  SELECT v.record_id, v.canon, v.page_id, v.tag, max(struct_pack(at := r.at, id := r.record_id, page_id := r.page_id, tag := r.tag, html := r.html)) AS r
+  FROM named v LEFT JOIN named r ON r.is_full AND r.canon = v.canon AND r.at < v.at
+  WHERE NOT v.is_full GROUP BY ALL),
+judged AS (
+  SELECT *, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"stale"' ELSE 'W/' || tag END AS own,
+    'max-age=' || page_id % 100 AS cache, CAST(page_id % 13 AS VARCHAR) AS age FROM found),
+outcomes AS (
+  SELECT *, CASE WHEN r.id IS NULL THEN 'no_response' WHEN own IS NULL THEN 'unchecked'
+    WHEN regexp_replace(own, '^W/', '') = r.tag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM judged)
+SELECT record_id, canon AS url, r.id AS response_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN 'age: ' || age || chr(10) || 'cache-control: ' || cache || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || own || chr(10) || 'server: s' || r.page_id % 9
+    ELSE 'age: ' || age || chr(10) || 'cache-control: ' || cache || chr(10) || 'content-type: text/plain' || CASE WHEN own IS NULL THEN '' ELSE chr(10) || 'etag: ' || own END END AS headers,
+  CASE WHEN outcome = 'resolved' THEN sha256(r.html) END AS digest
+FROM outcomes
+"""

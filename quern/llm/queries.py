@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontamination, html, pii, quality, simhash, suffix_array, suffix_tree, token_counts
+from quern.llm import bpe, decontamination, html, pii, quality, revisits, simhash, suffix_array, suffix_tree, token_counts
 from quern.llm.common import stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,12 @@ def hex16(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
+def op1_revisit_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolved(revisits.captures(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select("record_id", "url", "response_id", "outcome", lines.alias("headers"), "digest")
+
+
 def of_kind(spans: str, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
@@ -85,4 +91,4 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("ratio", "bad_chunks")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_disclosure, op3_simhash_pigeonring, op4_tag_path_ratios, op5_bpe_prefix_trie, op6_token_counts, op7_decontamination, op8_deep_shallow, op9_prefix_suffix_trees, op10_compression_bands)}
+QUERIES = {f.__name__: f for f in (op1_revisit_asof, op2_pii_disclosure, op3_simhash_pigeonring, op4_tag_path_ratios, op5_bpe_prefix_trie, op6_token_counts, op7_decontamination, op8_deep_shallow, op9_prefix_suffix_trees, op10_compression_bands)}
