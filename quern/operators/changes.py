@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.functions.validation import Checked, check
 from quern.model import Model, NotFound
 
 if TYPE_CHECKING:
@@ -184,6 +185,16 @@ class Repository:
         """One append, whatever the number of rows."""
         return self.store.append(self.table, self._stamped(self._frame(rows), "created", "updated"), self._number)
 
+    def insert_returning(self, rows: list[dict] | DataFrame, *columns: str) -> DataFrame:
+        """bulk_insert(), and the given columns (the key, if none) of the new rows."""
+        with self.store.transaction():
+            self.bulk_insert(rows)
+            return self.store.appended(self.table).select(*(columns or (self.key,)))
+
+    def check(self, rows: list[dict] | DataFrame) -> Checked:
+        """The rows with the errors of the rules that the model's fields declare; saving does not ask for it."""
+        return check(self._frame(rows), self.meta.rules)
+
     def bulk_update(self, rows: list[dict] | DataFrame) -> int:
         """Updates by key in one rewrite; rows with unknown keys are left out. Columns that are not given stay."""
         return self.store.merge(self.table, self._stamped(self._frame(self._alike(rows)), "updated"), [self.key], insert=False)[0]

@@ -338,6 +338,13 @@ class Query:
         df = self.df()
         return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
+    def remember(self, ttl: float | None = 300) -> DataFrame:
+        """The persisted result, shared by all queries with the same plan over the same snapshots; None keeps it until it is forgotten."""
+        from quern.cache import results
+
+        store = self.context._store if self.context else None
+        return results.remember(self.df(), tables={k: t.version for k, t in store.current().items()} if store else None, ttl=ttl)
+
     # --- values -----------------------------------------------------------------------------------------------
     def agg(self, **named_aggregates: str | Column) -> DataFrame:
         """One row of aggregates over the query's rows: name="sum(x)"."""

@@ -288,6 +288,11 @@ class Store:
         self._change(name, make)
         return n
 
+    def appended(self, name: str) -> DataFrame:
+        """The rows of the last append or rewrite."""
+        t = self.table(name)
+        return self.spark.read.schema(t.struct).parquet(t.paths[-1]) if t.paths else self.read(name)
+
     @staticmethod
     def _numbered(df: DataFrame, key: str, t: Table) -> DataFrame:
         """Running numbers from next_id on for rows without a key, without one task seeing them all."""

@@ -105,6 +105,22 @@ def test_bulk_and_counts(c):
     assert repo.delete_where(F.col("Id") > 10, force=True) > 200 and repo.truncate() == 9 and c.query(User).with_trashed().count() == 0
 
 
+def test_returning_checks_and_memory(c):
+    repo = c.repository(User)
+    assert sorted(r.Id for r in repo.insert_returning([{"Name": "a"}, {"Name": "b"}]).collect()) == [1, 2]
+    assert {(r.Id, r.Name) for r in repo.insert_returning([{"Name": "c"}], "Id", "Name").collect()} == {(3, "c")}
+
+    class Strict(Model, table="users"):
+        Id = Field("int", key=True)
+        Name = Field("string", rules="required|max_length:3")
+
+    assert c.repository(Strict).check([{"Name": "abcd"}, {"Name": "ok"}]).failing().count() == 1
+    one = c.query(User).remember()
+    assert c.query(User).remember() is one and one.count() == 3
+    repo.create(Name="d")
+    assert c.query(User).remember().count() == 4
+
+
 def test_soft_delete_and_events(c):
     seen = []
 
