@@ -240,9 +240,10 @@ LISTED = pa.schema([("tid", pa.int64()), ("grams", pa.binary())])
 def candidates(docs: DataFrame, units: Units, alone: bool) -> DataFrame:
     """(tid, grams): for each text the hashes of its anchors that other texts have too; with alone also those it has at two places itself."""
     n = buckets(docs)
+    most = slice_bytes(n)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches, most=most):
             texts = list(set(raw(batch)))
             tids = text_ids(units, texts)
             # the same text under other white space is the same
@@ -305,7 +306,12 @@ def candidates(docs: DataFrame, units: Units, alone: bool) -> DataFrame:
 
 
 def buckets(docs: DataFrame) -> int:
-    return int(min(1 << 16, max(128, input_bytes(docs) // BUCKET_BYTES)))
+    return int(min(1 << 18, max(128, input_bytes(docs) // BUCKET_BYTES)))
+
+
+def slice_bytes(n_buckets: int) -> int:
+    """Larger slices for more buckets, so that a slice has enough for each; up to 8 MB."""
+    return min(8 << 20, max(SLICE, 32 * n_buckets))
 
 
 PASSAGES = pa.schema([("bucket", pa.int64()), ("done", pa.bool_()), ("tids", pa.binary()), ("ids", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("place", pa.binary()), ("sizes", pa.binary()), ("content", pa.binary()), ("grams", pa.binary())])
@@ -359,12 +365,13 @@ def repeated_ranges(docs: DataFrame, reps: DataFrame, units: Units, settle: Sett
 
     docs(doc_id, text, sha) has all rows; reps(sha, tid, rep) names one row of each text."""
     n = buckets(docs)
+    most = slice_bytes(n)
     listed = candidates(docs, units, alone)
     wanted = listed.join(reps.select("sha", "tid", "rep"), "tid").select("tid", F.col("rep").alias("r"), F.col("sha").alias("s"), "grams")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("sha") == F.col("s"))).select("text", "tid", "r", "grams")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches, most=most):
             rows = raw(batch)
             tids = batch.column(1).to_numpy(zero_copy_only=False)
             docs_ = np.array([-1 if x is None else x for x in batch.column(2).to_pylist()], np.int64)
