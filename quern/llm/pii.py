@@ -143,11 +143,8 @@ def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
         return known.select("entity", "term", F.lit(0.0).alias("disclosure"))
     wanted = stored(known.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(terms_of(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))))).alias("term"))
-    few = within(wanted)
-    if few is wanted:  # too many to broadcast: count all words first, each once a task
-        words = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
-    else:
-        words = words.join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # each word once a task before the join, however frequent it is
+    words = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     return known.join(words, "term").select("entity", "term", share("n_term").alias("disclosure")).filter(F.col("disclosure") >= policy.generalise)
 
 
