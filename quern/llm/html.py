@@ -44,6 +44,8 @@ MARKS = re.compile(
     r"^(?:ad|ads|advert|adverts|advertisement|advertising|adslot|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|topbar|toolbar|masthead|header|footer|foot|sidebar|aside|widget|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|comment|comments|commentlist|disqus|replies|respond|form|login|signup|signin|subscribe|newsletter|search|searchbox|share|sharing|social|related|recommended|recommendations|pagination|pager|copyright|legal|disclaimer|skip|hidden)$"
 )
 HOLDERS = {"article", "main"}
+# First words of class names that only say what else the page has.
+BESIDE = {"has", "with", "no", "without", "is", "js"}
 PUNCTUATION = re.compile(r"[.,;:!?…。,、!?;:]")
 
 
@@ -81,8 +83,13 @@ class Reader(HTMLParser):
             return not any(x[0] in HOLDERS for x in self.open)
         if tag in ("html", "body", "article", "main"):
             return False
-        words = re.split(r"[^a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
-        return any(w and MARKS.match(w) for w in words)
+        inside = any(x[0] in HOLDERS for x in self.open)
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+            words = re.split(r"[^a-z]+", name)
+            # has-sidebar and the like describe what stands beside; an article's own header has its title
+            if words[0] not in BESIDE and any(MARKS.match(w) and not (inside and w == "header") for w in words):
+                return True
+        return False
 
     def pop_to(self, k: int) -> None:
         self.flush()

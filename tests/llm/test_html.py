@@ -41,6 +41,11 @@ def test_page_without_article_element():
     assert html.extract(page).split("\n\n") == ["Head", "Some text, of length.", "More text, of greater length, indeed."]
 
 
+def test_class_names():
+    page = "<div class='content has-sidebar'><article><header class=entry-header><h1>Head</h1></header><p>Some text, of length.</p><p>More text, of greater length, indeed.</p><div class='entry-share'>Share this, everyone, now.</div></article><div id=right-sidebar>Other, things.</div></div>"
+    assert html.extract(page).split("\n\n") == ["Head", "Some text, of length.", "More text, of greater length, indeed."]
+
+
 def test_cut_off_pages_and_odd_input(spark):
     whole = "<html><body><article><h1>Head</h1><p>Some text, of length.</p><p>More text, of gre"
     rows = [(1, "u", whole), (2, None, None), (3, "u", ""), (4, "u", "<<>>&&; <p <a"), (5, "u", "plain, no tags"), (None, "v", whole), (None, "v", whole), (6, "w", "<div>" * 3000 + "deep, text" + "</div>" * 3000)]
