@@ -2,8 +2,8 @@
 
 A manifest tells, for all tables, which folders hold their rows. A commit writes the next manifest under a name that must not exist yet, so of two
 writers one wins, and the other tries again on top unless both changed the same table. Many tables in one manifest make a
-transaction atomic. Appends add a folder; updates and deletes write new folders and leave the old ones to readers of
-earlier snapshots until vacuum(). All file access goes through Hadoop's file systems, so the root may be any shared store.
+transaction atomic. Appends add a folder; updates and deletes write the folders anew that hold
+the rows concerned, and leave the old ones to readers of earlier snapshots until vacuum(). All file access goes through Hadoop's file systems, so the root may be any shared store.
 """
 
 from __future__ import annotations
@@ -232,8 +232,9 @@ class Store:
             out.append(c.cast(f.dataType).alias(f.name))
         return df.select(*out)
 
-    def _check(self, name: str, t: Table, folder_df: DataFrame, whole: Callable[[], DataFrame]) -> None:
-        """Null, length and uniqueness constraints, on written rows."""
+    def _check(self, name: str, t: Table, rows: DataFrame, others: DataFrame | None = None, allocated: str | None = None) -> None:
+        """Null, length and uniqueness constraints on written rows; others are the table's other rows, which are known to be good.
+        A key that was allocated here is unique by itself."""
         tests = []
         for f in t.struct:
             if not f.nullable:
@@ -241,16 +242,43 @@ class Store:
             if f.metadata.get("length"):
                 tests.append((f"{f.name} is longer than {f.metadata['length']}", F.length(f.name) > f.metadata["length"]))
         if tests:
-            found = folder_df.agg(*(F.coalesce(F.max(c.cast("int")), F.lit(0)).alias(f"t{i}") for i, (_, c) in enumerate(tests))).first()
+            found = rows.agg(*(F.coalesce(F.max(c.cast("int")), F.lit(0)).alias(f"t{i}") for i, (_, c) in enumerate(tests))).first()
             broken = [text for (text, _), bad in zip(tests, found, strict=True) if bad]
             if broken:
                 raise Violation(f"{name}: {', '.join(broken)}")
         for f in t.struct:
-            if f.metadata.get("key") or f.metadata.get("unique"):
-                twice = whole().filter(F.col(f.name).isNotNull()).groupBy(f.name).count().filter("count > 1").limit(1).collect()
+            if f.name != allocated and (f.metadata.get("key") or f.metadata.get("unique")):
+                values = rows.select(f.name).filter(F.col(f.name).isNotNull())
+                twice = values.groupBy(f.name).count().filter("count > 1").limit(1).collect()
+                if not twice and others is not None:
+                    twice = values.join(others.select(f.name), f.name, "left_semi").limit(1).collect()
                 if twice:
                     raise Violation(f"{name}: {f.name} {twice[0][0]!r} comes more than once")
 
+    def _rows(self, t: Table, paths: list[str]) -> DataFrame | None:
+        return self.spark.read.schema(t.struct).parquet(*paths) if paths else None
+
+    @staticmethod
+    def _folder_of() -> Column:
+        return F.regexp_extract("_metadata.file_path", "/(v[0-9a-f]{32})/", 1).alias("folder")
+
+    def _touched(self, t: Table, found: DataFrame) -> tuple[int, list[str]]:
+        """How many rows `found` has, which are rows of the table with `folder`, and the paths of their folders."""
+        counts = {r.folder: r["count"] for r in found.groupBy("folder").count().collect()}
+        return sum(counts.values()), [p for p in t.paths if p.rpartition("/")[2] in counts]
+
+    def _rewrite(self, name: str, paths: list[str], change: Callable[[DataFrame], DataFrame], check: bool = True) -> None:
+        """Writes the rows of some folders anew; the other folders stay as they are."""
+
+        def make(t):
+            folder = self._folder(name, self._fitted(t, change(self._rows(t, paths))))
+            t.paths = [p for p in t.paths if p not in paths] + [folder]
+            if check:
+                self._check(name, t, self._rows(t, [folder]), self._rows(t, t.paths[:-1]))
+            return t
+
+        self._change(name, make)
+
     def replace(self, name: str, df: DataFrame, next_id: int | None = None, schema: StructType | None = None, check: bool = True) -> None:
         """A new snapshot from df, which may read the old one."""
 
@@ -260,9 +288,8 @@ class Store:
             folder = self._folder(name, self._fitted(t, df))
             t.paths = [folder]
             t.next_id = t.next_id if next_id is None else next_id
-            written = self.spark.read.schema(t.struct).parquet(folder)
             if check:
-                self._check(name, t, written, lambda: written)
+                self._check(name, t, self._rows(t, [folder]))
             return t
 
         self._change(name, make)
@@ -282,7 +309,8 @@ class Store:
             t.paths = [*t.paths, folder]
             if number and n:
                 t.next_id = max(t.next_id, written.agg(F.max(number)).first()[0] + 1)
-            self._check(name, t, written, lambda: self.spark.read.schema(t.struct).parquet(*t.paths))
+            given = number and number in df.columns and not df.filter(F.col(number).isNotNull()).isEmpty()
+            self._check(name, t, written, self._rows(t, t.paths[:-1]), None if given else number)
             return t
 
         self._change(name, make)
@@ -310,50 +338,53 @@ class Store:
         return self.append(name, df.coalesce(1), number)
 
     def update(self, name: str, where: Column, values: dict[str, object]) -> int:
-        """Sets columns where the condition holds; a value may be a Column over the row. Returns how many rows changed."""
-        df = self.read(name)
+        """Sets columns where the condition holds; a value may be a Column over the row. Only folders with such rows are written anew.
+        Returns how many rows changed."""
+        t, df = self.table(name), self.read(name)
+        for c in values:
+            if c not in df.columns:
+                raise ValueError(f"{name} has no column {c!r}")
+        if not t.paths:
+            return 0
         hit = F.coalesce(where, F.lit(False))
-        n = df.filter(hit).count()
+        n, paths = self._touched(t, df.filter(hit).select(self._folder_of()))
+        kinds = {f.name: f.dataType for f in df.schema}
+        new = {c: F.when(F.col("_hit"), (v if isinstance(v, Column) else F.lit(v)).cast(kinds[c])).otherwise(F.col(c)) for c, v in values.items()}
         if n:
-            for c in values:
-                if c not in df.columns:
-                    raise ValueError(f"{name} has no column {c!r}")
-            kinds = {f.name: f.dataType for f in df.schema}
-            marked = df.withColumn("_hit", hit)
-            new = {c: F.when(F.col("_hit"), (v if isinstance(v, Column) else F.lit(v)).cast(kinds[c])).otherwise(F.col(c)) for c, v in values.items()}
-            self.replace(name, marked.withColumns(new).drop("_hit"))
+            self._rewrite(name, paths, lambda rows: rows.withColumn("_hit", hit).withColumns(new).drop("_hit"))
         return n
 
     def delete(self, name: str, where: Column) -> int:
-        df = self.read(name)
+        """Drops rows where the condition holds, from the folders that have them."""
+        t = self.table(name)
+        if not t.paths:
+            return 0
         hit = F.coalesce(where, F.lit(False))
-        n = df.filter(hit).count()
+        n, paths = self._touched(t, self.read(name).filter(hit).select(self._folder_of()))
         if n:
-            self.replace(name, df.filter(~hit), check=False)
+            self._rewrite(name, paths, lambda rows: rows.filter(~hit), check=False)
         return n
 
     def merge(self, name: str, rows: DataFrame, on: list[str], insert: bool = True, number: str | None = None, keep: tuple[str, ...] = ()) -> tuple[int, int]:
-        """Updates rows that agree with `rows` on the given columns and, with insert, adds the others. Columns that `rows` lacks, and those in `keep`, keep their
-        values in updated rows. Returns the numbers of updated and added rows. `rows` may name each key once."""
+        """Updates rows that agree with `rows` on the given columns and, with insert, adds the others. Columns that `rows` lacks, and those
+        in `keep`, keep their values in updated rows. Returns the numbers of updated and added rows. `rows` may name each key once."""
         t = self.table(name)
         rows = rows.select(*(F.col(c).cast(t.struct[c].dataType).alias(c) for c in rows.columns))
         twice = rows.groupBy(*on).count().filter("count > 1").limit(1).collect()
         if twice:
             raise Violation(f"{name}: the key {tuple(twice[0])[:-1]!r} comes more than once in the rows to merge")
-        new = rows.select(*(F.col(c).alias(f"_n_{c}") for c in rows.columns)).withColumn("_new", F.lit(True))
         old = self.read(name)
-        same = None
+        new = rows.select(*(F.col(c).alias(f"_n_{c}") for c in rows.columns)).withColumn("_new", F.lit(True))
+        same = F.lit(True)
         for c in on:
-            test = F.col(c) == F.col(f"_n_{c}")
-            same = test if same is None else same & test
+            same = same & (F.col(c) == F.col(f"_n_{c}"))
+        n_updated, paths = self._touched(t, old.select(*on, self._folder_of()).join(rows.select(*on), on, "left_semi")) if t.paths else (0, [])
         added = rows.join(old.select(*on), on, "left_anti")
-        joined = old.join(new, same, "left")
-        n_updated = rows.join(old.select(*on).distinct(), on, "left_semi").count()
         n_added = added.count() if insert else 0
+        change = [F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in rows.columns and c not in on and c not in keep else F.col(c) for c in old.columns]
         with self.transaction():
             if n_updated:
-                change = [F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in rows.columns and c not in on and c not in keep else F.col(c) for c in old.columns]
-                self.replace(name, joined.select(*change))
+                self._rewrite(name, paths, lambda mine: mine.join(new, same, "left").select(*change))
             if n_added:
                 self.append(name, added, number)
         return n_updated, n_added

@@ -105,6 +105,23 @@ def test_bulk_and_counts(c):
     assert repo.delete_where(F.col("Id") > 10, force=True) > 200 and repo.truncate() == 9 and c.query(User).with_trashed().count() == 0
 
 
+def test_only_touched_folders_are_rewritten(c):
+    repo = c.repository(User)
+    repo.bulk_insert([{"Name": "a"}, {"Name": "b"}])
+    repo.bulk_insert([{"Name": "c"}, {"Name": "d"}])
+    first, second = c.store.table("users").paths
+    assert repo.increment("Age", 1, key=1) == 1
+    assert second in c.store.table("users").paths and first not in c.store.table("users").paths
+    assert repo.bulk_upsert([{"Id": 4, "Name": "D"}, {"Id": 9, "Name": "z"}]) == (1, 1)
+    assert second not in c.store.table("users").paths and len(c.store.table("users").paths) == 3
+    assert c.store.delete("users", F.col("Id") == 9) == 1 and c.store.delete("users", F.col("Id") == 99) == 0
+    assert [(r.Id, r.Name, r.Age) for r in c.query(User).order_by("Id").rows()] == [(1, "a", 2), (2, "b", 1), (3, "c", 1), (4, "D", 1)]
+    with pytest.raises(Violation):
+        repo.update_where(F.col("Id") == 2, {"Name": "x" * 11})
+    with pytest.raises(Violation):
+        c.store.update("users", F.col("Id") == 2, {"Id": 3})
+
+
 def test_returning_checks_and_memory(c):
     repo = c.repository(User)
     assert sorted(r.Id for r in repo.insert_returning([{"Name": "a"}, {"Name": "b"}]).collect()) == [1, 2]
