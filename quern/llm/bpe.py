@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import plus, slices, strings
+from quern.llm.common import arrow, plus, slices, strings
 
 # Fixed value: how byte-level vocabularies split text into words before the merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A worker's cache of word encodings starts anew beyond so many bytes of words and ids.
-CACHE_BYTES = 64 << 20
+#: A worker's cache of word encodings keeps only the words at hand beyond so many bytes of words and ids.
+CACHE_BYTES = 96 << 20
 #: So many answers about token borders are remembered, about 60 MB.
 APART_MOST = 300_000
 
@@ -136,9 +136,6 @@ class Vocabulary:
         split: list[list] = []
         new: set[str] = set()
         cache = self.cache
-        if self.cached > CACHE_BYTES:
-            cache.clear()
-            self.cached = 0
         for text in texts:
             pieces = [text] if self.parts is None or not any(s in text for s in self.special) else self.parts.split(text)
             words: list[str] = []
@@ -154,7 +151,11 @@ class Vocabulary:
         for word, found in self.states(sorted(w.encode() for w in new)):
             cache[word.decode()] = np.array(found, "<i4").tobytes()
             self.cached += 2 * len(word) + 4 * len(found) + 180
-        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4") for words in split]
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4") for words in split]
+        if self.cached > CACHE_BYTES:  # the words of these texts stay, and so do all that are frequent
+            self.cache = {w: cache[w] for words in split for w in words}
+            self.cached = sum(2 * len(w) + len(x) + 180 for w, x in self.cache.items())
+        return out
 
 
 def merge(v: Vocabulary, data: bytes) -> list[int]:
@@ -186,7 +187,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", out: str = "ids") -
             lists = listed(v.encode(strings(batch, column)))[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return arrow(kept, run, schema)
 
 
 class Decoder:
@@ -233,7 +234,7 @@ def decode(encoded: DataFrame, path: str, column: str = "ids", out: str = "decod
             texts = text(lists.flatten().to_numpy(zero_copy_only=False), bounds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return arrow(kept, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -246,4 +247,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(text(ids, bounds), pa.string())], names=["doc_id", "ids", "decoded"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return arrow(plain, run, "doc_id long, ids array<int>, decoded string")
