@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources import scratch
 
-def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "position") -> DataFrame:
-    """df with a running number from 0, by `order` if given. Rows are ranged and sorted in parallel; only the row count of
-    each partition comes to the driver, and each row adds its partition's start to its place there.
 
-    The counts and the numbers come from two runs over the same partitions, so the input must give the same rows in the
-    same partitions each time, as tables and range partitions of unique keys do."""
+def numbered_table(df: DataFrame, order: list[Column] | None = None, name: str = "position") -> tuple[DataFrame, str]:
+    """df with a running number from 0, by `order` if given, and the folder of the table it was written to.
+
+    Rows are ranged and sorted in parallel and written with their partition and their place in it. Range bounds are sampled and may differ
+    from run to run, so it is this table that is counted and numbered, not the plan. Only the row count of each partition comes
+    to the driver; each row adds its partition's start to its place."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    marked = ranged.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33).cast("int")
-    counts = dict(marked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    id_ = F.monotonically_increasing_id()
+    table, path = scratch.written(ranged.withColumn("_part", F.shiftright(id_, 33).cast("int")).withColumn("_place", id_.bitwiseAND(F.lit((1 << 33) - 1))))
     total, starts = 0, []
-    for k in sorted(counts):
-        starts.append((k, total))
-        total += counts[k]
-    if not starts:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    begin = F.element_at(F.create_map(*(F.lit(x) for pair in starts for x in pair)), part)
-    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return marked.withColumn(name, (begin + inside).cast("long")).drop("_id")
+    for part, n in sorted(table.groupBy("_part").count().collect()):
+        starts += [F.lit(part), F.lit(total).cast("long")]
+        total += n
+    begin = F.element_at(F.create_map(*starts), F.col("_part")) if starts else F.lit(0).cast("long")
+    return table.withColumn(name, begin + F.col("_place")).drop("_part", "_place"), path
+
+
+def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "position") -> DataFrame:
+    """numbered_table() for results that outlive the call; the table stays until the shared folder is cleared."""
+    return numbered_table(df, order, name)[0]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from quern.operators import rawsql
 from quern.operators.changes import Observer, clear_observers, observe
 from quern.operators.query import Query
 from quern.operators.relations import BelongsTo, BelongsToMany, HasMany, HasOne
+from quern.sources import scratch
 from quern.streaming.windows import run_available, tumbling
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -103,12 +103,6 @@ class Supplier(Model, table="supplier"):
     s_acctbal = Field("double")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for mutable tables: on the shared storage that the session names, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='quern-')}"
-
-
 def context(spark: SparkSession, sf_dir: str, root: str | None = None) -> Context:
     c = Context.of_files(spark, sf_dir, TABLES, root)
     mark = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate"))
@@ -118,7 +112,7 @@ def context(spark: SparkSession, sf_dir: str, root: str | None = None) -> Contex
 
 def stored(spark: SparkSession, sf_dir: str, *models: type[Model]) -> Context:
     """A context whose store holds copies of the models' tables."""
-    c = context(spark, sf_dir, scratch(spark))
+    c = context(spark, sf_dir, scratch.folder(spark))
     with c.transaction():
         for m in models:
             c.store.create(m.meta.table, m.meta.schema)
@@ -858,7 +852,7 @@ def stream_tumbling(c):
     names = {f.rpartition("/")[2] for f in c.frames["events"].inputFiles()}
     pattern = "events.parquet" if names == {"events.parquet"} else "*.parquet"
     stream = c.spark.readStream.schema(c.frames["events"].schema).option("pathGlobFilter", pattern).parquet(folder)
-    return run_available(tumbling(stream, "ts", ["event_type"]), f"windows_{uuid.uuid4().hex}", scratch(c.spark))
+    return run_available(tumbling(stream, "ts", ["event_type"]), f"windows_{uuid.uuid4().hex}", scratch.folder(c.spark))
 
 
 @query("select date_trunc('hour', ts) as win_start, user_id, count(*) as n from events group by 1, 2")

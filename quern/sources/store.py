@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.operators.positions import numbered
+from quern.operators.positions import numbered_table
+from quern.sources import scratch
 
 
 #: A claim to the next version without its manifest counts as abandoned after so many seconds.
@@ -300,10 +301,10 @@ class Store:
 
         def make(t):
             nonlocal n
-            rows = df
-            if number:
-                rows = self._numbered(rows, number, t)
+            rows, used = self._numbered(df, number, t) if number else (df, None)
             folder = self._folder(name, self._fitted(t, rows))
+            if used:
+                scratch.drop(self.spark, used)
             written = self.spark.read.schema(t.struct).parquet(folder)
             n = written.count()
             t.paths = [*t.paths, folder]
@@ -322,13 +323,18 @@ class Store:
         return self.spark.read.schema(t.struct).parquet(t.paths[-1]) if t.paths else self.read(name)
 
     @staticmethod
-    def _numbered(df: DataFrame, key: str, t: Table) -> DataFrame:
-        """Running numbers from next_id on for rows without a key, without one task seeing them all."""
-        if key not in df.columns:
-            return numbered(df, None, "_position").withColumn(key, F.col("_position") + t.next_id).drop("_position")
-        old, new = df.filter(F.col(key).isNotNull()), df.filter(F.col(key).isNull())
-        fresh = numbered(new, None, "_position").withColumn(key, F.col("_position") + t.next_id).drop("_position")
-        return old.unionByName(fresh.withColumn(key, F.col(key).cast(df.schema[key].dataType)))
+    def _numbered(df: DataFrame, key: str, t: Table) -> tuple[DataFrame, str | None]:
+        """Running numbers from next_id on for rows without a key, without one task seeing them all; and the folder used on the way."""
+        named = key in df.columns
+        new = df.filter(F.col(key).isNull()) if named else df
+        if named and new.isEmpty():
+            return df, None
+        fresh, used = numbered_table(new, None, "_position")
+        fresh = fresh.withColumn(key, F.col("_position") + t.next_id).drop("_position")
+        if not named:
+            return fresh, used
+        old = df.filter(F.col(key).isNotNull())
+        return old.unionByName(fresh.withColumn(key, F.col(key).cast(df.schema[key].dataType))), used
 
     def append_rows(self, name: str, rows: list[dict], number: str | None = None) -> int:
         """Rows from the driver. Columns that no row names get their defaults."""

@@ -124,8 +124,9 @@ def test_chunks(c):
 
 
 def test_numbering_is_dense(spark):
-    df = numbered(spark.range(1000).repartition(7), [F.desc("id")])
-    assert [(r.id, r.position) for r in df.orderBy("position").collect()] == [(999 - i, i) for i in range(1000)]
+    # many rows for each partition, so that range bounds come from a sample
+    df = numbered(spark.range(200_000).repartition(3), [F.desc("id")])
+    assert df.filter(F.col("id") + F.col("position") != 199_999).isEmpty() and df.count() == 200_000
 
 
 def test_group_needs_aggregates(c):
