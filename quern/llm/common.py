@@ -5,38 +5,29 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from quern.sources import scratch
+
 #: The ASCII white space of the contracts, as a Java / RE2 character class body.
 WS = r"\x20\x09-\x0D"
 #: Python kernels work through a batch in slices of about so many text bytes.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: the lineage ends there, and lost
     executors cost no recomputation. Unlike checkpoint() the rows are computed once. The table stays until the
     folder is cleared, since later plans may read it at any time."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch.folder(df.sparkSession)}-{label}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
