@@ -177,8 +177,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int
     """The rows of docs, all columns, that are not contaminated."""
     found = list(blocks(benchmark, block_bytes))
     if len(found) > 1:
-        bad = contamination(docs, benchmark, size, share, block_bytes).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+        bad = contamination(docs, benchmark, size, share, block_bytes).filter("contaminated").select(F.col("doc_id").alias("__quern_id")).distinct()
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__quern_id")), "left_anti")
     plain = docs.select(F.col("text").cast("string").alias("text"))
     counts = word_counts(plain, {w for _, t in found[0] for w in words_of(t)})
     shared = docs.sparkSession.sparkContext.broadcast(filed(found[0], counts, size))

@@ -190,7 +190,8 @@ def written(spans: Column) -> Column:
 
 def sanitised(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """docs, same columns, with text sanitised: entities and generalised terms become <KIND> placeholders, removed terms go."""
-    marked = with_spans(docs, policy).withColumn("_spans", F.array_sort(F.transform(F.concat("_base", "_terms"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))))
+    packed = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("_row"))
+    marked = with_spans(packed, policy).withColumn("_spans", F.array_sort(F.transform(F.concat("_base", "_terms"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))))
 
     def step(acc: Column, s: Column) -> Column:
         label = F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "<TERM>").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
@@ -200,4 +201,4 @@ def sanitised(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
     text = F.when(F.size("_spans") > 0, whole).otherwise(F.col("text").cast("string"))
-    return marked.withColumn("text", text).select(*docs.columns)
+    return marked.select(*(text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))

@@ -239,8 +239,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     prints = stored(with_fingerprints(plain).select("doc_id", "fp"), "prints")
     found = groups(prints)
     best = prints.join(found, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"), F.count("*").alias("n"))
-    keep = stored(best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.fp").alias("keep_fp")), "keep")
-    marked = with_fingerprints(docs, "_fp")
-    out = marked.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("_fp") == F.col("keep_fp")), "left_semi")
-    same = prints.join(keep, prints["doc_id"].eqNullSafe(keep["keep_id"]) & (prints["fp"] == keep["keep_fp"]), "left_semi").groupBy("doc_id", "fp").count().filter("count > 1")
-    return out.drop("_fp") if same.isEmpty() else out.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    keep = stored(best.select(F.col("best.doc_id").alias("__quern_id"), F.col("best.fp").alias("__quern_keep")), "keep")
+    marked = with_fingerprints(docs, "__quern_fp")
+    out = marked.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__quern_id")) & (F.col("__quern_fp") == F.col("__quern_keep")), "left_semi")
+    same = prints.join(keep, prints["doc_id"].eqNullSafe(keep["__quern_id"]) & (prints["fp"] == keep["__quern_keep"]), "left_semi").groupBy("doc_id", "fp").count().filter("count > 1")
+    return out.drop("__quern_fp") if same.isEmpty() else out.dropDuplicates(["doc_id", "__quern_fp"]).drop("__quern_fp")

@@ -52,6 +52,18 @@ def test_pipeline(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in got.values())
 
 
+def test_clashing_columns_pass_through(spark):
+    rng = random.Random(3)
+    text = prose(rng, 80) + " me@x.org"
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_text", "_base", "_row", "_sha", "_id", "_terms", "fp", "_fp", "root", "key", "ids", "bad_id", "words", "sha"]
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text), *names[5:]), (1, text, "en", "s", len(text), *names[5:]), (None, None, None, None, None, *names[5:])], ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == names
+        assert all(tuple(r)[5:] == tuple(names[5:]) for r in out.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == 3
+
+
 def test_stages_keep_the_columns(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
