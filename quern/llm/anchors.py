@@ -30,6 +30,7 @@ BASE, GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PLACE_BITS = 24  # of a value in the search for the smallest hash; the rest is hash
 SLICE = 1 << 20
 PIECE = 2 << 20
+SHARED_MOST = 100_000
 BUCKET_BYTES = 2 << 20
 
 
@@ -196,14 +197,22 @@ class Bytes(Units):
             yield at, at, text[at : at + PIECE + self.size - 1]
 
 
-def text_ids(units: Units, texts: list[bytes]) -> np.ndarray:
-    """64-bit names of texts: the start of their SHA-256."""
-    return np.frombuffer(b"".join(hashlib.sha256(units.name(t)).digest()[:8] for t in texts), ">i8").astype(np.int64)
+def text_ids(units: Units, texts: list[bytes], shared: frozenset[int] = frozenset()) -> np.ndarray:
+    """64-bit names of texts: the start of their SHA-256, or its next 64 bits where several texts share the start."""
+    both = np.frombuffer(b"".join(hashlib.sha256(units.name(t)).digest()[:16] for t in texts), ">i8").astype(np.int64).reshape(-1, 2)
+    return np.where(np.isin(both[:, 0], list(shared)), both[:, 1], both[:, 0]) if shared else both[:, 0]
 
 
-def tid_of(sha: str) -> F.Column:
-    """The same from a column of hex digests."""
-    return F.conv(F.substring(sha, 1, 16), 16, -10).cast("long")
+def with_ids(reps: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """reps(sha, ...) with tid, the same names from hex digests, and the starts that several texts share. Among 10^10 texts that is
+    a handful; they come to the driver only after counting."""
+    long = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("long")
+    plain = reps.withColumn("tid", long(1))
+    twice = stored(plain.groupBy("tid").count().filter("count > 1").select("tid"), "shared-ids")
+    if twice.limit(SHARED_MOST + 1).count() > SHARED_MOST:
+        raise ValueError("too many texts share 64-bit names")
+    shared = frozenset(r.tid for r in twice.collect())
+    return plain.withColumn("tid", F.when(F.col("tid").isin(list(shared)), long(17)).otherwise(F.col("tid"))) if shared else plain, shared
 
 
 def bucketed(keys: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -237,7 +246,7 @@ ANCHORS = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("tids", p
 LISTED = pa.schema([("tid", pa.int64()), ("grams", pa.binary())])
 
 
-def candidates(docs: DataFrame, units: Units, alone: bool) -> DataFrame:
+def candidates(docs: DataFrame, units: Units, alone: bool, shared: frozenset[int] = frozenset()) -> DataFrame:
     """(tid, grams): for each text the hashes of its anchors that other texts have too; with alone also those it has at two places itself."""
     n = buckets(docs)
     most = slice_bytes(n)
@@ -245,7 +254,7 @@ def candidates(docs: DataFrame, units: Units, alone: bool) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=most):
             texts = list(set(raw(batch)))
-            tids = text_ids(units, texts)
+            tids = text_ids(units, texts, shared)
             # the same text under other white space is the same
             runs = units.runs(texts)
             tid, gram = tids[runs.text], runs.gram
@@ -360,13 +369,13 @@ Solve = Callable[[Passages], tuple[np.ndarray, np.ndarray, np.ndarray]]
 HOLD_BYTES = 32 << 20
 
 
-def repeated_ranges(docs: DataFrame, reps: DataFrame, units: Units, settle: Settle, solve: Solve, alone: bool) -> DataFrame:
+def repeated_ranges(docs: DataFrame, reps: DataFrame, units: Units, settle: Settle, solve: Solve, alone: bool, shared: frozenset[int] = frozenset()) -> DataFrame:
     """(sha, starts, stops): for each text the merged ranges of units that repeated windows cover.
 
     docs(doc_id, text, sha) has all rows; reps(sha, tid, rep) names one row of each text."""
     n = buckets(docs)
     most = slice_bytes(n)
-    listed = candidates(docs, units, alone)
+    listed = candidates(docs, units, alone, shared)
     wanted = listed.join(reps.select("sha", "tid", "rep"), "tid").select("tid", F.col("rep").alias("r"), F.col("sha").alias("s"), "grams")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("sha") == F.col("s"))).select("text", "tid", "r", "grams")
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.anchors import Bytes, Passages, repeated_ranges, tid_of
+from quern.llm.anchors import Bytes, Passages, repeated_ranges, with_ids
 from quern.llm.common import arrow, raw, slices, stored
 
 SIZE, GRAM = 200, 48
@@ -215,13 +215,14 @@ def solve(p: Passages):
     return np.array(tids, np.int64), np.array(starts, np.int64), np.array(stops, np.int64)
 
 
-def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs with sha (of its text), a stored row (doc_id, sha, n_bytes) for each, and the texts' reps with their numbers of rows."""
+def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, frozenset[int]]:
+    """docs with sha (of its text), a stored row (doc_id, sha, n_bytes) for each, the texts' reps with their numbers of rows, and what with_ids() says of them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
     rows = stored(keyed.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
     reps = rows.filter(f"n_bytes >= {SIZE}").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    return keyed, rows, stored(reps.withColumn("tid", tid_of("sha")), "reps")
+    named, shared = with_ids(stored(reps, "reps"))
+    return keyed, rows, named, shared
 
 
 KEPT = "sha string, starts array<int>, stops array<int>, kept binary"
@@ -248,6 +249,6 @@ def kept_texts(keyed: DataFrame, reps: DataFrame, ranges: DataFrame) -> DataFram
 
 def deduplicated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (doc_id, sha, n_bytes), the texts (sha, rep, copies, tid), and kept_texts() of the texts that come once and lose bytes."""
-    keyed, rows, reps = prepared(docs)
-    ranges = repeated_ranges(keyed, reps, Bytes(SIZE, GRAM), settle, solve, alone=True)
+    keyed, rows, reps, shared = prepared(docs)
+    ranges = repeated_ranges(keyed, reps, Bytes(SIZE, GRAM), settle, solve, alone=True, shared=shared)
     return rows, reps, kept_texts(keyed, reps, ranges)

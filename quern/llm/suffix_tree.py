@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.anchors import Passages, Words, repeated_ranges, tid_of
+from quern.llm.anchors import Passages, Words, repeated_ranges, with_ids
 from quern.llm.common import arrow, raw, slices, stored
 
 SIZE, GRAM = 13, 4
@@ -116,15 +116,16 @@ def one_space(text: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
 
 
-def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs with sha (of its words joined by blanks), a stored row (doc_id, sha, n_words) for each, and the texts' reps."""
+def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, frozenset[int]]:
+    """docs with sha (of its words joined by blanks), a stored row (doc_id, sha, n_words) for each, the texts' reps, and what with_ids() says of them."""
     words = one_space(F.coalesce(F.col("text").cast("string"), F.lit("")))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), words.alias("words"))
     n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace(F.col("words"), F.lit(" "))) + 1).cast("long")
     keyed = plain.select("doc_id", "text", F.sha2("words", 256).alias("sha"))
     rows = stored(plain.select("doc_id", F.sha2("words", 256).alias("sha"), n.alias("n_words")), "rows")
     reps = rows.filter(f"doc_id is not null and n_words >= {SIZE}").groupBy("sha").agg(F.min("doc_id").alias("rep"))
-    return keyed, rows, stored(reps.withColumn("tid", tid_of("sha")), "reps")
+    named, shared = with_ids(stored(reps, "reps"))
+    return keyed, rows, named, shared
 
 
 KEPT = "sha string, starts array<int>, stops array<int>, kept string"
@@ -152,6 +153,6 @@ def kept_texts(keyed: DataFrame, reps: DataFrame, ranges: DataFrame) -> DataFram
 
 def deduplicated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (doc_id, sha, n_words), the texts' smallest documents (sha, rep, tid), and kept_texts() of the texts that lose words."""
-    keyed, rows, reps = prepared(docs)
-    ranges = repeated_ranges(keyed, reps, Words(SIZE, GRAM), settle, solve, alone=False)
+    keyed, rows, reps, shared = prepared(docs)
+    ranges = repeated_ranges(keyed, reps, Words(SIZE, GRAM), settle, solve, alone=False, shared=shared)
     return rows, reps, kept_texts(keyed, reps, ranges)

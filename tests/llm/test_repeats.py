@@ -133,6 +133,18 @@ def test_anchors_are_shared_by_equal_windows():
         before = mine  # noqa: F841
 
 
+def test_texts_that_share_the_start_of_their_hash(spark):
+    units = anchors.Bytes(200, 48)
+    digests = [hashlib.sha256(t).hexdigest() for t in (b"a", b"b")]
+    reps = spark.createDataFrame([(d,) for d in digests] + [(digests[0][:16] + digests[1][16:],)], "sha string")
+    named, shared = anchors.with_ids(reps)
+    assert len(shared) == 1 and len({r.tid for r in named.collect()}) == 3
+    by = {r.sha: r.tid for r in named.collect()}
+    assert anchors.text_ids(units, [b"a", b"b"], shared).tolist() == [by[digests[0]], by[digests[1]]]
+    assert anchors.text_ids(units, [b"b"]).tolist() == [by[digests[1]]]
+    assert anchors.text_ids(units, []).tolist() == []
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op8_deep_shallow(spark, str(tmp_path)).count() == queries.op9_prefix_suffix_trees(spark, str(tmp_path)).count() == 0
