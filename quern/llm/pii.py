@@ -33,6 +33,8 @@ PATTERNS = {
 }
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 MIN_LETTERS = 4
+#: Between the parts of a triple; neither entities nor terms can hold it.
+MARK = "\x01"
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
 #: Rows up to which a table of terms is broadcast; a row is a word or a document key with a few words.
 BROADCAST_ROWS = 100_000
@@ -107,14 +109,25 @@ def surroundings(text: Column, span: Column, reach: int) -> Column:
 
 
 def mentions(docs: DataFrame, reach: int) -> DataFrame:
-    """For each row of docs: doc_id, sha (of its text) and near, its distinct (entity, place, term) triples; place names the surroundings."""
+    """For each row of docs: doc_id, sha (of its text), its distinct entities, and near, its distinct triples of entity, place and term, each one
+    string, since Spark finds equal strings by hash but compares structs in pairs; place names the surroundings."""
     base = with_base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     around = base.select("doc_id", "_text", F.transform("_base", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), surroundings(F.col("_text"), s, reach).alias("near"))).alias("around"))
-    near = F.flatten(F.transform("around", lambda a: F.transform(terms_of(a["near"]), lambda t: F.struct(a["entity"].alias("entity"), F.md5(a["near"]).alias("place"), t.alias("term")))))
+    near = F.flatten(F.transform("around", lambda a: F.transform(terms_of(a["near"]), lambda t: F.concat_ws(MARK, a["entity"], F.md5(a["near"]), t))))
     entities = F.array_distinct(F.transform("around", lambda a: a["entity"]))
     return around.select("doc_id", F.sha2("_text", 256).alias("sha"), entities.alias("entities"), F.array_distinct(near).alias("near"))
 
 
+def part(triple: Column, n: int) -> Column:
+    return F.split_part(triple, F.lit(MARK), F.lit(n))
+
+
+def triples(seen: DataFrame) -> DataFrame:
+    """doc_id, sha, entity, place, term of mentions()."""
+    near = seen.select("doc_id", "sha", F.explode("near").alias("n"))
+    return near.select("doc_id", "sha", *(part(F.col("n"), i).alias(name) for i, name in enumerate(("entity", "place", "term"), 1)))
+
+
 def within(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint, if counting shows that the written table has few rows."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
@@ -122,10 +135,10 @@ def within(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
     """(entity, term, disclosure) of the pairs whose disclosure reaches the lower threshold; seen is mentions(docs)."""
-    near = seen.select("doc_id", "sha", F.explode("near").alias("n")).select("doc_id", "sha", "n.*")
+    near = triples(seen)
     places = near.groupBy("entity", "term", "place").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("places"))
-    pairs = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    both = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
+    pairs = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.concat_ws(MARK, part(x, 1), part(x, 3))))).alias("p"))
+    both = pairs.groupBy(part(F.col("p"), 1).alias("entity"), part(F.col("p"), 2).alias("term")).agg(F.count("*").alias("n_both"))
     entities = seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_docs = seen.count()
 
@@ -135,7 +148,7 @@ def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
 
     # a term is in at least the documents where it stands near any entity, so these bound its disclosure from above:
     # words that stand near many entities are out before the corpus is counted
-    around = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    around = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: part(x, 3)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     some = places.filter(F.col("places") >= policy.surroundings).select("entity", "term")
     known = some.join(both, ["entity", "term"]).join(entities, "entity").join(around, "term").filter(share("n_near") >= policy.generalise)
     known = stored(known, "pairs")
@@ -154,8 +167,7 @@ def revealing(docs: DataFrame, policy: Policy) -> DataFrame | None:
     told = stored(disclosures(docs, seen, policy), "told")
     if told.isEmpty():
         return None
-    near = seen.select("doc_id", "sha", F.explode("near").alias("n")).select("doc_id", "sha", "n.entity", "n.term")
-    mine = near.join(within(told), ["entity", "term"]).groupBy("doc_id", "sha", "term").agg(F.max("disclosure").alias("disclosure"))
+    mine = triples(seen).drop("place").join(within(told), ["entity", "term"]).groupBy("doc_id", "sha", "term").agg(F.max("disclosure").alias("disclosure"))
     listed = F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "disclosure"))))
     return stored(mine.groupBy("doc_id", "sha").agg(listed.alias("terms")), "revealing")
 

@@ -50,9 +50,10 @@ def test_base_spans(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.op2_pii_disclosure(spark, str(tmp_path)).collect()}
     for i, t in enumerate(ODD):
-        want = ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(t))
+        spans = plain_spans(t)  # the plain patterns take their time on long runs
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (t or "")[:80]
-        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(s[0] == k for s in plain_spans(t)) for k in PLAIN)
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(s[0] == k for s in spans) for k in PLAIN)
     assert got[None].n_email == 1
 
 
