@@ -1,12 +1,14 @@
 """Information-theoretic sanitisation of personal data (operator 2), in DataFrame and SQL functions only.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers that fixed patterns find. A term (a run
-of at least MIN_LETTERS letters, A-Z lowered) that stands near an entity reveals it as far as the corpus says so: with
-N documents, n(e), n(t) that contain entity and term, and n(e,t) in which the term stands near the entity, the share of
+of at least MIN_LETTERS letters, A-Z lowered) in a document of an entity reveals it as far as the corpus says so: with
+N documents, n(e), n(t) that contain entity and term, and n(e,t) that contain both, the share of
 the entity's information that the term discloses is log(N n(e,t) / (n(e) n(t))) / log(N / n(e)): 1 if the term
-never occurs without the entity, 0 if they are independent. In documents where such a term stands near such an entity,
-all its occurrences are generalised to a placeholder from one threshold on and removed from a higher one on. Only
-pairs seen in several different surroundings count, so that copies of one passage are no evidence.
+never occurs without the entity, 0 if they are independent. In documents that hold such a term and such an entity,
+all the term's occurrences are generalised to a placeholder from one threshold on and removed from a higher one on.
+Evidence is counted in different texts, so that copies are one piece of it, and asked for by what the entity has: the term
+must be in half of the entity's texts or in Policy.texts of them. So entities of one or two texts are judged by these. As a
+term may meet them by chance, n(t) counts one document more for pairs in fewer than Policy.texts texts.
 
 Base spans come from the patterns alone. The patterns are written with possessive quantifiers and a look at the
 character before, which changes no match but keeps long runs from being scanned again from each of their characters.
@@ -17,6 +19,7 @@ as documents each; entities in every document disclose nothing further; an empty
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +36,6 @@ PATTERNS = {
 }
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 MIN_LETTERS = 4
-#: Between the parts of a triple; neither entities nor terms can hold it.
-MARK = "\x01"
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
 #: Rows up to which a table of terms is broadcast; a row is a word or a document key with a few words.
 BROADCAST_ROWS = 100_000
@@ -42,10 +43,11 @@ BROADCAST_ROWS = 100_000
 
 @dataclass(frozen=True)
 class Policy:
-    """Characters on each side of an entity that count as near, the surroundings needed, and the disclosure thresholds."""
+    """Characters on each side of a document's entities in which terms are looked for (None: the whole text), the different texts
+    that are evidence enough for any pair, and the disclosure thresholds."""
 
-    reach: int = 48
-    surroundings: int = 3
+    reach: int | None = None
+    texts: int = 3
     generalise: float = 0.8
     remove: float = 0.95
 
@@ -108,24 +110,20 @@ def surroundings(text: Column, span: Column, reach: int) -> Column:
     return F.concat(ascii_lower(left), F.lit("\n"), ascii_lower(right))
 
 
-def mentions(docs: DataFrame, reach: int) -> DataFrame:
-    """For each row of docs: doc_id, sha (of its text), its distinct entities, and near, its distinct triples of entity, place and term, each one
-    string, since Spark finds equal strings by hash but compares structs in pairs; place names the surroundings."""
+def mentions(docs: DataFrame, reach: int | None = None) -> DataFrame:
+    """For each row of docs: doc_id, sha (of its text), its distinct entities, and the distinct terms within reach of these (None: all of its text's)."""
     base = with_base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    around = base.select("doc_id", "_text", F.transform("_base", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), surroundings(F.col("_text"), s, reach).alias("near"))).alias("around"))
-    near = F.flatten(F.transform("around", lambda a: F.transform(terms_of(a["near"]), lambda t: F.concat_ws(MARK, a["entity"], F.md5(a["near"]), t))))
-    entities = F.array_distinct(F.transform("around", lambda a: a["entity"]))
-    return around.select("doc_id", F.sha2("_text", 256).alias("sha"), entities.alias("entities"), F.array_distinct(near).alias("near"))
+    entities = F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    near = ascii_lower(F.col("_text")) if reach is None else F.array_join(F.transform("_base", lambda s: surroundings(F.col("_text"), s, reach)), "\n")
+    terms = F.when(F.size("_base") > 0, F.array_distinct(terms_of(near))).otherwise(F.array().cast("array<string>"))
+    return base.select("doc_id", F.sha2("_text", 256).alias("sha"), entities.alias("entities"), terms.alias("terms"))
 
 
-def part(triple: Column, n: int) -> Column:
-    return F.split_part(triple, F.lit(MARK), F.lit(n))
-
-
-def triples(seen: DataFrame) -> DataFrame:
-    """doc_id, sha, entity, place, term of mentions()."""
-    near = seen.select("doc_id", "sha", F.explode("near").alias("n"))
-    return near.select("doc_id", "sha", *(part(F.col("n"), i).alias(name) for i, name in enumerate(("entity", "place", "term"), 1)))
+def pairs_of(seen: DataFrame, terms: DataFrame) -> DataFrame:
+    """The columns of seen but for its arrays, with each entity and each of the given terms that a row has."""
+    rest = [c for c in seen.columns if c not in ("entities", "terms")]
+    some = seen.select(*rest, "entities", F.explode("terms").alias("term")).join(within(terms), "term")
+    return some.select(*rest, "term", F.explode("entities").alias("entity"))
 
 
 def within(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -135,22 +133,28 @@ def within(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
     """(entity, term, disclosure) of the pairs whose disclosure reaches the lower threshold; seen is mentions(docs)."""
-    near = triples(seen)
-    places = near.groupBy("entity", "term", "place").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("places"))
-    pairs = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.concat_ws(MARK, part(x, 1), part(x, 3))))).alias("p"))
-    both = pairs.groupBy(part(F.col("p"), 1).alias("entity"), part(F.col("p"), 2).alias("term")).agg(F.count("*").alias("n_both"))
-    entities = seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    seen = seen.select("sha", "entities", "terms")
     n_docs = seen.count()
+    seen = seen.filter(F.size("entities") > 0)
+    entities = seen.select("sha", F.explode("entities").alias("entity")).groupBy("entity", "sha").agg(F.count("*").alias("n"))
+    entities = stored(entities.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")), "entities")
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
 
     def share(n_term: str) -> Column:
-        told = F.log(F.lit(n_docs) * F.col("n_both") / (F.col("n_entity") * F.col(n_term))) / F.log(F.lit(n_docs) / F.col("n_entity"))
+        smooth = F.col(n_term) + F.when(F.col("both") < policy.texts, 1).otherwise(0)
+        told = F.log(F.lit(n_docs) * F.col("n_both") / (F.col("n_entity") * smooth)) / F.log(F.lit(n_docs) / F.col("n_entity"))
         return F.when(F.col("n_entity") < n_docs, told).otherwise(0.0)
 
-    # a term is in at least the documents where it stands near any entity, so these bound its disclosure from above:
-    # words that stand near many entities are out before the corpus is counted
-    around = seen.select(F.explode(F.array_distinct(F.transform("near", lambda x: part(x, 3)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    some = places.filter(F.col("places") >= policy.surroundings).select("entity", "term")
-    known = some.join(both, ["entity", "term"]).join(entities, "entity").join(around, "term").filter(share("n_near") >= policy.generalise)
+    # a term is in at least the documents where it meets any entity, so these bound its disclosure from above, and that for the
+    # most frequent entity bounds all: words that meet many entities are out before pairs are made and the corpus is counted
+    around = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    bound = F.log(F.lit(n_docs) / F.col("n_near")) >= policy.generalise * math.log(n_docs / most) - 1e-9 if 0 < most < n_docs else F.lit(True)
+    around = stored(around.filter(bound), "around")
+    # equal texts have equal pairs
+    texts = seen.groupBy("sha").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")).drop("sha")
+    both = pairs_of(texts, around.select("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("both"))
+    known = both.join(within(entities), "entity").filter((F.col("both") >= policy.texts) | (2 * F.col("both") >= F.col("texts")))
+    known = known.join(within(around), "term").filter(share("n_near") >= policy.generalise)
     known = stored(known, "pairs")
     if known.isEmpty():
         return known.select("entity", "term", F.lit(0.0).alias("disclosure"))
@@ -167,7 +171,9 @@ def revealing(docs: DataFrame, policy: Policy) -> DataFrame | None:
     told = stored(disclosures(docs, seen, policy), "told")
     if told.isEmpty():
         return None
-    mine = triples(seen).drop("place").join(within(told), ["entity", "term"]).groupBy("doc_id", "sha", "term").agg(F.max("disclosure").alias("disclosure"))
+    known = stored(told.select("term").distinct(), "told-terms")
+    mine = pairs_of(seen.filter(F.size("entities") > 0), known).join(within(told), ["entity", "term"])
+    mine = mine.groupBy("doc_id", "sha", "term").agg(F.max("disclosure").alias("disclosure"))
     listed = F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "disclosure"))))
     return stored(mine.groupBy("doc_id", "sha").agg(listed.alias("terms")), "revealing")
 

@@ -79,3 +79,17 @@ def test_revealing_terms(spark):
     clean = pii.sanitised(docs).filter("doc_id = 0").first().text
     assert "Zanzibar" not in clean and "<TERM> office: <EMAIL>, open daily" in clean
     assert pii.sanitised(docs).filter("doc_id = 1").count() == 2
+
+
+def test_entities_of_one_or_two_texts(spark):
+    far = "and there is more to say of it all in the end " * 3
+    once = f"Quetzal {far} once@x.example {far} meets Xylophone"
+    twice = [f"the Yttrium {w} {far} twice@x.example" for w in ("plant", "works")]
+    texts = [once, *twice, *(f"there is more to say of it all in the end, the plant works, {k}" for k in range(60)), once]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {(r.doc_id, s.value) for r in pii.with_spans(docs).collect() for s in r._terms}
+    assert {(0, "quetzal"), (0, "xylophone"), (len(texts) - 1, "quetzal"), (1, "yttrium"), (2, "yttrium")} <= spans
+    assert not {v for _, v in spans} & {"more", "there", "plant", "works"}
+    told = {(r.entity, r.term): r.disclosure for r in pii.disclosures(docs, pii.mentions(docs), pii.Policy()).collect()}
+    want = math.log(64 * 2 / (2 * 3)) / math.log(64 / 2)
+    assert abs(told["email:once@x.example", "quetzal"] - want) < 1e-9 and abs(told["email:twice@x.example", "yttrium"] - want) < 1e-9
