@@ -102,7 +102,9 @@ class Units:
                     r = self._runs([piece], np.array([i], np.int64))
                     r.first, r.last, r.start, r.stop, r.place = r.first + units, r.last + units, r.start + at, r.stop + at, r.place + units
                     parts.append(r)
-        return Runs(*(np.concatenate([getattr(p, f) for p in parts]) for f in Runs.__dataclass_fields__))
+        every = Runs(*(np.concatenate([getattr(p, f) for p in parts]) for f in Runs.__dataclass_fields__))
+        # those of long texts come after the others'; each text's runs stand together
+        return every.take(np.argsort(every.text, kind="stable"))
 
     def _runs(self, texts: list[bytes], numbers: np.ndarray) -> Runs:
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)

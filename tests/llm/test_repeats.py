@@ -157,3 +157,17 @@ def test_deep_shallow_sorts():
         order = suffix_array.deep_shallow(strings)
         assert sorted(order) == list(range(len(strings))) and [strings[i] for i in order] == sorted(strings)
     assert suffix_array.common(b"abc", b"abd") == 2 and suffix_array.common(b"", b"x") == 0 and suffix_array.common(b"ab", b"abc") == 2
+
+
+def test_runs_stand_in_the_order_of_texts(monkeypatch):
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(b"abc ", k=k)) for k in (400, 2500, 300, 900, 500)]
+    for units in (anchors.Bytes(200, 48), anchors.Words(13, 4)):
+        whole = units.runs(texts)
+        monkeypatch.setattr(anchors, "PIECE", 700)
+        cut = units.runs(texts)
+        monkeypatch.undo()
+        assert (np.diff(cut.text) >= 0).all()
+        edge = np.searchsorted(cut.text, np.arange(len(texts) + 1))
+        for i in range(len(texts)):  # each text's part has all of its anchors, as cut() in repeated_ranges reads them
+            assert set(cut.gram[edge[i] : edge[i + 1]].tolist()) == set(whole.gram[whole.text == i].tolist())
