@@ -244,6 +244,22 @@ def together(df: DataFrame) -> DataFrame:
     return df.repartition("bucket").sortWithinPartitions("bucket")
 
 
+def entries(tid: np.ndarray, gram: np.ndarray, place: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(tid, gram) by gram and text, one for each pair; with alone, two where a text has the gram at several places."""
+    order = np.lexsort((place, tid, gram))
+    tid, gram, place = tid[order], gram[order], place[order]
+    new = np.ones(len(tid), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (tid[1:] != tid[:-1])
+    if alone:
+        # runs on both sides of a cut between pieces can have one anchor, which is one place
+        fresh = new.copy()
+        fresh[1:] |= place[1:] != place[:-1]
+        tid, gram, new = tid[fresh], gram[fresh], new[fresh]
+        # a second place counts as a second entry, one is enough
+        new[1:] |= new[:-1]
+    return tid[new], gram[new]
+
+
 ANCHORS = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("tids", pa.binary()), ("grams", pa.binary())])
 LISTED = pa.schema([("tid", pa.int64()), ("grams", pa.binary())])
 
@@ -260,17 +276,7 @@ def candidates(docs: DataFrame, units: Units, alone: bool, shared: frozenset[int
             # the same text under other white space is the same
             runs = units.runs(texts)
             tid, gram = tids[runs.text], runs.gram
-            order = np.lexsort((runs.place, tid, gram))
-            tid, gram, place = tid[order], gram[order], runs.place[order]
-            same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (tid[1:] == tid[:-1])]) if len(tid) else np.zeros(0, bool)
-            if alone:
-                # a second place counts as a second entry, one is enough
-                again = same & np.concatenate([[False], place[1:] != place[:-1]]) if len(tid) else same
-                third = np.concatenate([[False], same[:-1]]) & same if len(tid) else same
-                keep = ~same | (again & ~third)
-            else:
-                keep = ~same
-            tid, gram = tid[keep], gram[keep]
+            tid, gram = entries(tid, gram, runs.place, alone)
             first = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
             rank = np.arange(len(gram)) - np.maximum.accumulate(np.where(first, np.arange(len(gram)), 0)) if len(gram) else first
             go, settled = rank < 2, rank >= 2

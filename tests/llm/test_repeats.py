@@ -171,3 +171,24 @@ def test_runs_stand_in_the_order_of_texts(monkeypatch):
         edge = np.searchsorted(cut.text, np.arange(len(texts) + 1))
         for i in range(len(texts)):  # each text's part has all of its anchors, as cut() in repeated_ranges reads them
             assert set(cut.gram[edge[i] : edge[i + 1]].tolist()) == set(whole.gram[whole.text == i].tolist())
+
+
+def test_an_anchor_across_a_cut_is_one_place(monkeypatch):
+    rng = random.Random(6)
+    noise = lambda k: bytes(rng.choices(b"abcdefgh ", k=k))
+    passage = noise(260)
+    text = noise(600) + passage + noise(500) + passage + noise(300)
+    units = anchors.Bytes(200, 48)
+    crossed = 0
+    for piece in range(600, 640):  # the first copy lies across the cut
+        monkeypatch.setattr(anchors, "PIECE", piece)
+        r = units.runs([text])
+        places = defaultdict(list)
+        for g, p in zip(r.gram.tolist(), r.place.tolist()):
+            places[g].append(p)
+        crossed += any(len(p) == 3 and len(set(p)) == 2 for p in places.values())
+        for alone in (True, False):
+            tid, gram = anchors.entries(np.zeros(len(r.gram), np.int64), r.gram, r.place, alone)
+            got = dict(zip(*(x.tolist() for x in np.unique(gram, return_counts=True))))
+            assert got == {g: min(len(set(p)), 1 + alone) for g, p in places.items()}
+    assert crossed
