@@ -1,8 +1,10 @@
 """Quality rules by compression bands (operator 10).
 
 A document passes if zstandard squeezes it neither too well (repetition) nor too badly (noise). The ratio of
-compressed to plain bytes falls with length, so each limit holds for a range of lengths; the same is asked of fixed
-chunks, of which only a bounded share may fall outside, so that a bad half cannot hide behind a good one.
+compressed to plain bytes falls with length, so each limit holds for a range of lengths; the same is asked of chunks
+that cover the whole text, of which only a bounded share of bytes may fall outside, so that a bad half cannot hide behind
+a good one. Shorter texts have shorter chunks with limits of their own; the last chunk ends at the text's end and counts for the bytes
+that those before it leave. Texts under 256 bytes are one chunk, the text: below 128 bytes the ratio tells noise from words no more.
 
 Defined cases: a null text counts as empty; a text without words fails the base rules; a null doc_id, repeated rows
 and extra columns change nothing, as each row is judged alone.
@@ -33,9 +35,9 @@ class Bands:
     whole: tuple[tuple[float, float, float], ...] = field(
         default=((200, 0.25, 1.10), (400, 0.33, 0.95), (800, 0.33, 0.85), (3200, 0.30, 0.75), (12800, 0.25, 0.66), (float("inf"), 0.22, 0.62))
     )
-    chunk_bytes: int = 2048
-    chunk: tuple[float, float] = (0.28, 0.75)
-    #: The largest share of chunks outside their band.
+    #: By length, longest first: (from so many bytes, bytes of a chunk, lowest, highest).
+    chunks: tuple[tuple[int, int, float, float], ...] = ((4096, 2048, 0.28, 0.75), (1024, 512, 0.30, 0.85), (512, 256, 0.33, 0.95), (256, 128, 0.50, 1.03))
+    #: The largest share of bytes in chunks outside their band.
     chunk_share: float = 0.3
     level: int = 3
     min_words: int = 20
@@ -68,18 +70,21 @@ def repeated_words(words: list[bytes], owner: np.ndarray, n_docs: int) -> np.nda
 
 
 def verdict(text: bytes, bands: Bands, squeeze: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """The whole text's ratio, the share of chunks outside their band, and whether both are allowed."""
+    """The whole text's ratio, the share of its bytes in chunks outside their band, and whether both are allowed."""
     if not text:
         return 1.0, 0.0, False
-    ratio = len(squeeze.compress(text)) / len(text)
-    low, high = next((a, b) for most, a, b in bands.whole if len(text) <= most)
-    share = 0.0
-    if len(text) >= 2 * bands.chunk_bytes:
-        step = bands.chunk_bytes
-        chunks = [text[i : i + step] for i in range(0, len(text) - step + 1, step)]
-        ratios = [len(squeeze.compress(c)) / step for c in chunks]
-        share = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in ratios) / len(ratios)
-    return ratio, share, low <= ratio <= high and share <= bands.chunk_share
+    n = len(text)
+    ratio = len(squeeze.compress(text)) / n
+    low, high = next((a, b) for most, a, b in bands.whole if n <= most)
+    bad = 0
+    rule = next((x[1:] for x in bands.chunks if n >= x[0]), None)
+    if rule:
+        step, least, most = rule
+        for i in range(0, n, step):
+            stop = min(i + step, n)
+            if not least <= len(squeeze.compress(text[stop - step : stop])) / step <= most:
+                bad += stop - i
+    return ratio, bad / n, low <= ratio <= high and bad / n <= bands.chunk_share
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks double, kept boolean"
