@@ -1,26 +1,36 @@
 """Main-text extraction by tag-path ratios (operator 4).
 
-A page is read as blocks of text, each with the path of tags from the root to it. For each distinct path the lengths
-of its blocks' texts and their punctuation marks are summed and divided by the number of its blocks. Both ratios are
-smoothed over the paths in page order with a Gaussian kernel, the smoothed and the plain values are fused by
-their product, and the paths whose fused value reaches a share of the standard deviation hold the content. So a short
-paragraph stays with the long ones of its path, and a menu entry falls with its kind.
-
-Before that, what its tag, role or class name marks as a menu, header, footer, sidebar, notice, advert, form or
-reader comment is left out, as are scripts, styles and markup. Headings, lists, tables and quotes in the smallest
-container of all content blocks come with them unless they are mostly links.
-
-Defined cases: a null or empty html and a page without text give the empty string; cut-off tags, unclosed elements
-and unknown entities are read as browsers do, near enough; a truncated page keeps what it has.
+A page is read as blocks of text, each with the path of tags (with first class names) from the root to it. For each distinct
+path the lengths of its blocks' texts and their punctuation marks are summed and divided by the number of its blocks. Both ratios
+are smoothed over the paths in page order with a Gaussian kernel, plain and smoothed values are fused by their product, and
+the paths whose fused value reaches a share of the standard deviation over the page hold the content. So a short paragraph
+stays with the long ones of its path, and a menu entry falls with its kind.
+
+What a tag, role, class name or id says of a part (menu, footer, sidebar, notice, advert, form, reader comments) leaves nothing out
+by itself: it lowers the fused value of the paths below it, by LOW for class names and forms and by LOWEST for elements that say it
+outright. All paths below one wrapper are lowered alike, so a page inside a form or in a "with-sidebar" wrapper keeps its text. Only scripts,
+styles, controls and hidden elements are never read. A page on which no path's value reaches LEAST has no main text.
+
+The innermost element around all content blocks, or its article, is the container: its other blocks (headings, lists,
+tables, quotes) come with the content unless they are mostly links or stand in a part that was lowered inside it. Where that is
+the page's body, only headings right before content blocks do.
+
+Time is linear in the page's length, however deep it is nested: blocks refer to their element and path by number.
+
+Defined cases: a null or empty html and a page without text give the empty string; cut-off tags, unclosed elements,
+unknown declarations and entities are read as browsers do, near enough; a truncated page keeps what it has. Pages are read whole,
+whatever their length. Each row is judged alone: repeated rows give equal rows, null page_ids and urls pass through, other columns of pages are
+ignored, and an empty table gives an empty result. Paths of equal value are all in or all out.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +43,51 @@ from quern.llm.common import arrow, slices, strings
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "canvas", "iframe", "object", "audio", "video", "map", "select", "textarea", "button", "datalist"}
-APART = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+APART = {"nav", "footer", "aside", "menu", "dialog"}
+FORMS = {"form", "fieldset"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body", "html", "td", "th", "blockquote"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+SHAPES = {"svg", "path", "circle", "rect", "use", "line", "polygon"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-# Words in class names and ids that mark what is no article text.
-MARKS = re.compile(
-    r"^(?:ad|ads|advert|adverts|advertisement|advertising|adslot|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|topbar|toolbar|masthead|header|footer|foot|sidebar|aside|widget|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|comment|comments|commentlist|disqus|replies|respond|form|login|signup|signin|subscribe|newsletter|search|searchbox|share|sharing|social|related|recommended|recommendations|pagination|pager|copyright|legal|disclaimer|skip|hidden)$"
-)
 HOLDERS = {"article", "main"}
+# Words in class names and ids that speak against article text.
+MARKS = {
+    "ad", "ads", "advert", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "footer", "sidebar",
+    "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "comment", "comments", "replies", "form", "login", "subscribe", "newsletter", "search", "share", "sharing", "social", "related", "pagination", "copyright", "disclaimer",
+}
 # First words of class names that only say what else the page has.
 BESIDE = {"has", "with", "no", "without", "is", "js"}
 PUNCTUATION = re.compile(r"[.,;:!?…。,、!?;:]")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+WORDS = re.compile(r"[^a-z]+")
 
+#: Factors of paths below an element that a class name, id or form speaks against, or that is a menu, footer, sidebar or page header by its tag or role.
+LOW, LOWEST = 0.005, 0.0005
+#: The fused value that the best path of a page with main text has at least.
+LEAST = 0.25
 
-@dataclass
-class Block:
+
+class Open(NamedTuple):
+    """An open element: its number, its path's number, the lowering so far, and where the nearest scope and block element stand among the open ones."""
+
+    tag: str
+    number: int
+    path: int
+    factor: float
+    silent: bool
+    held: bool  # in an article or main element
+    scope: int
+    block: int
+
+
+class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # of tags with their first class names
-    chain: tuple[int, ...]  # the same elements by number
+    tag: str
+    path: int
+    element: int
+    factor: float
     links: int
 
 
@@ -62,50 +96,77 @@ class Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, int, bool]] = []  # tag, name in paths, number, left out
+        self.open: list[Open] = []
+        self.where: dict[str, list[int]] = defaultdict(list)  # tag -> places among the open elements
+        self.paths: dict[tuple, int] = {}
         self.blocks: list[Block] = []
+        self.parents, self.last, self.tags, self.factors = [-1], [0], [""], [1.0]  # of elements by number; 0 is the page
         self.parts: list[str] = []
-        self.links = self.in_link = self.count = 0
+        self.links = 0
+
+    # markup that never ends takes the rest of the page, as in browsers, and so is read once
+    def unended(self, i: int, end: str = ">") -> bool:
+        return self.rawdata.find(end, i) < 0
+
+    def parse_starttag(self, i):
+        return len(self.rawdata) if self.unended(i) else super().parse_starttag(i)
+
+    def parse_endtag(self, i):
+        return len(self.rawdata) if self.unended(i) else super().parse_endtag(i)
+
+    def parse_pi(self, i):
+        return len(self.rawdata) if self.unended(i) else super().parse_pi(i)
+
+    def parse_comment(self, i, report=1):
+        return len(self.rawdata) if self.unended(i, "-->") else super().parse_comment(i, report)
+
+    def parse_html_declaration(self, i):
+        return len(self.rawdata) if self.unended(i) else super().parse_html_declaration(i)
+
+    def parse_marked_section(self, i, report=1):
+        """Sections with unknown names are comments to browsers."""
+        return self.parse_bogus_comment(i)
+
+    def top(self) -> Open:
+        return self.open[-1] if self.open else Open("", 0, -1, 1.0, False, False, -1, -1)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            shown = [x for x in self.open if x[0] not in INLINE]
-            self.blocks.append(Block(text, tuple(x[1] for x in shown), tuple(x[2] for x in shown), self.links))
+            at = self.top()
+            at = self.open[at.block] if at.block >= 0 else Open("", 0, -1, 1.0, False, False, -1, -1)
+            self.blocks.append(Block(text, at.tag, at.path, at.number, at.factor, self.links))
         self.parts, self.links = [], 0
 
-    def left_out(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag in SILENT or tag in APART or (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-            return True
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
-            return True
-        if tag == "header":
-            return not any(x[0] in HOLDERS for x in self.open)
-        if tag in ("html", "body", "article", "main"):
-            return False
-        inside = any(x[0] in HOLDERS for x in self.open)
+    @staticmethod
+    def factor_of(tag: str, attrs: dict[str, str | None], held: bool) -> float:
+        """What an element's tag, role, class names and id say of the text in it."""
+        if tag in APART or tag == "header" and not held or (attrs.get("role") or "").lower() in ROLES:
+            return LOWEST
+        if tag in FORMS:
+            return LOW
+        if tag in ("html", "body", "article", "main") or not ("class" in attrs or "id" in attrs):
+            return 1.0
         for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
-            words = re.split(r"[^a-z]+", name)
+            words = WORDS.split(name)
             # has-sidebar and the like describe what stands beside; an article's own header has its title
-            if words[0] not in BESIDE and any(MARKS.match(w) and not (inside and w == "header") for w in words):
-                return True
-        return False
-
-    def pop_to(self, k: int) -> None:
-        self.flush()
-        for x in self.open[k:]:
-            self.in_link -= x[0] == "a"
+            if words[0] not in BESIDE and any(w in MARKS and not (held and w == "header") for w in words):
+                return LOW
+        return 1.0
+
+    def pop_to(self, k: int, block: bool) -> None:
+        if block:
+            self.flush()
+        for x in reversed(self.open[k:]):
+            self.where[x.tag].pop()
+            self.last[x.number] = len(self.parents) - 1
         del self.open[k:]
 
     def close_implied(self, tag: str) -> None:
-        targets = {"p"} if tag in CLOSES_P else CLOSES.get(tag)
-        if targets:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] in targets:
-                    self.pop_to(k)
-                    return
-                if self.open[k][0] in SCOPES:
-                    return
+        targets = {"p"} if tag in CLOSES_P else CLOSES.get(tag, ())
+        k = max((self.where[t][-1] for t in targets if self.where[t]), default=-1)
+        if k >= 0 and k >= self.top().scope:
+            self.pop_to(k, True)
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -115,40 +176,45 @@ class Reader(HTMLParser):
             if tag == "hr":
                 self.flush()
             return
-        outside = bool(self.open and self.open[-1][3])
-        known = dict(attrs)
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline:
             self.flush()
             self.close_implied(tag)
-            outside = bool(self.open and self.open[-1][3])
-        name = tag + "".join(f".{c}" for c in (known.get("class") or "").split()[:1])
-        self.count += 1
-        self.open.append((tag, name, self.count, outside or self.left_out(tag, known)))
-        self.in_link += tag == "a"
+        at, known, n = self.top(), dict(attrs), len(self.open)
+        silent = at.silent or tag in SILENT or "hidden" in known or known.get("aria-hidden") == "true" or bool(HIDDEN.search(known.get("style") or ""))
+        own = self.factor_of(tag, known, at.held)
+        factor, path, number = min(at.factor, own), at.path, at.number
+        if not inline:
+            name = (at.path, tag, ((known.get("class") or "").split() or [""])[0], own)
+            path = self.paths.setdefault(name, len(self.paths))
+            number = len(self.parents)
+            self.parents.append(at.number), self.last.append(number), self.tags.append(tag), self.factors.append(factor)
+        else:
+            # an inline advert or label is a path of its own only if something speaks against it; its text stays in the block
+            silent = silent or own < 1.0
+            factor = at.factor
+        self.where[tag].append(n)
+        self.open.append(Open(tag, number, path, factor, silent, at.held or tag in HOLDERS, n if tag in SCOPES else at.scope, at.block if inline else n))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "path", "circle", "rect", "use", "line", "polygon"):
+        if tag in SHAPES:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if tag in INLINE:
-                    self.in_link -= tag == "a"
-                    del self.open[k]
-                else:
-                    self.pop_to(k)
-                return
-            if tag in INLINE and self.open[k][0] not in INLINE:
-                return
-        if tag == "p":
+        places = self.where[tag]
+        if tag in INLINE:
+            if places and places[-1] > self.top().block:
+                self.pop_to(places[-1], False)
+        elif places:
+            self.pop_to(places[-1], True)
+        elif tag == "p":
             self.flush()
 
     def handle_data(self, data):
-        if not (self.open and self.open[-1][3]):
+        if not self.top().silent:
             self.parts.append(data)
-            if self.in_link:
+            if self.where["a"]:
                 self.links += len(data.strip())
 
 
@@ -159,24 +225,57 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return total / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
-def content_paths(blocks: list[Block], sigma: float, share: float) -> set[tuple[str, ...]]:
-    """The paths whose fused, smoothed text and punctuation ratios reach the threshold."""
-    stats: dict[tuple[str, ...], list[float]] = {}
+def content_paths(blocks: list[Block], sigma: float, share: float) -> set[int]:
+    """The paths whose fused, smoothed text and punctuation ratios, lowered by what speaks against them, reach the threshold."""
+    stats: dict[int, list[float]] = {}
     for b in blocks:
-        s = stats.setdefault(b.path, [0, 0, 0, 0])
+        s = stats.setdefault(b.path, [0, 0, 0, 0, b.factor])
         s[0] += len(b.text)
         s[1] += len(PUNCTUATION.findall(b.text))
         s[2] += 1
         s[3] += b.links
-    paths = list(stats)
-    chars, marks, nodes, links = np.array([stats[p] for p in paths], float).T
+    chars, marks, nodes, links, factor = np.array(list(stats.values()), float).T
     text = (chars - np.minimum(links, chars)) / nodes
     dots = (marks + 1) / nodes
     # plain and smoothed values count alike, so that a strong path does not lift its neighbours above itself
-    fused = np.sqrt(text * smooth(text, sigma)) * np.sqrt(dots * smooth(dots, sigma))
-    limit = share * fused.std() if len(paths) > 1 else 0
+    fused = np.sqrt(text * smooth(text, sigma)) * np.sqrt(dots * smooth(dots, sigma)) * factor
     best = fused.max()
-    return {p for p, f, n, c in zip(paths, fused, links, chars, strict=True) if f > 0 and f >= min(limit, best) and n < 0.5 * c}
+    if best < LEAST:
+        return set()
+    limit = min(share * fused.std(), best)
+    return {p for p, f, n, c in zip(stats, fused, links, chars, strict=True) if f > 0 and f >= limit and n < 0.5 * c}
+
+
+def main_blocks(reader: Reader, paths: set[int]) -> list[str]:
+    """The texts of the content paths' blocks and of those that come with them, in page order."""
+    blocks = reader.blocks
+    chosen = [b.element for b in blocks if b.path in paths]
+    if not chosen:
+        return []
+    # elements are numbered as they open, so one holds another if the other's number is within its own and its last one's
+    inner, furthest = chosen[0], max(chosen)
+    while reader.last[inner] < furthest:
+        inner = reader.parents[inner]
+    holder = inner
+    while holder > 0 and reader.tags[holder] not in HOLDERS:
+        holder = reader.parents[holder]
+    inner = holder or inner
+    inside = reader.tags[inner] not in ("", "html", "body")
+    out: list[str] = []
+    heads: list[str] = []
+    for b in blocks:
+        good = b.path in paths
+        linked = b.links >= 0.5 * len(b.text)
+        if not good and inside:
+            good = inner <= b.element <= reader.last[inner] and b.factor >= reader.factors[inner] and not linked
+        if good:
+            out += [*heads, b.text]
+            heads = []
+        elif not inside and b.tag in HEADINGS and b.factor >= reader.factors[chosen[0]] and not linked:
+            heads.append(b.text)
+        else:
+            heads = []
+    return out
 
 
 def extract(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
@@ -185,26 +284,8 @@ def extract(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
     reader.feed(html)
     reader.close()
     reader.flush()
-    blocks = reader.blocks
-    if not blocks:
-        return ""
-    paths = content_paths(blocks, sigma, share)
-    chosen = [b for b in blocks if b.path in paths]
-    if not chosen:
-        return ""
-    # the innermost element around all content blocks, or its article
-    shared = chosen[0].chain[:-1] or chosen[0].chain
-    for b in chosen[1:]:
-        n = next((i for i, (x, y) in enumerate(zip(shared, b.chain)) if x != y), min(len(shared), len(b.chain)))  # noqa: B905
-        shared = shared[:n]
-    names = chosen[0].path[: len(shared)]
-    for i, name in enumerate(names):
-        if name.split(".")[0] in HOLDERS:
-            shared = shared[: i + 1]
-            break
-    inside = len(shared) > 1 or not any(name.split(".")[0] in ("html", "body") for name in names)
-    out = [b.text for b in blocks if b.path in paths or (inside and b.chain[: len(shared)] == shared and b.links < 0.5 * len(b.text))]
-    return "\n\n".join(out)
+    reader.pop_to(0, False)
+    return "\n\n".join(main_blocks(reader, content_paths(reader.blocks, sigma, share))) if reader.blocks else ""
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
