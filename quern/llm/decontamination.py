@@ -7,89 +7,205 @@ under its rarest word, and a document's words meet only the windows filed under
 window bounds where the window must start and end (position and length filter), and what remains is compared word by
 word.
 
-The benchmark is the stated query set, held against all documents in blocks of bounded size: a block's windows are
-broadcast, its size having been summed beforehand, and a larger benchmark takes more passes. Documents are only
-scanned; nothing is shuffled but word counts, and marks where there are several blocks.
+The benchmark is the stated query set, held against all documents in blocks of bounded size. The driver holds one block at a time: its
+windows are broadcast as arrays, whose size is bounded by that of the block's text and checked, and taken back when its pass is over. A larger
+benchmark takes more passes over the documents, which are then written once with a number for each row; each pass
+writes the hits of rows by that number, and only these are shuffled. With one block documents are only scanned. The rule is the same
+for any number of blocks: each row is judged by its own hits.
 
 Defined cases: null texts have no words; an item without words has no windows; repeated items are reported
-by their distinct ids; null item_ids are never reported, though their words are hit; an empty benchmark hits nothing;
-repeated rows of docs are judged one by one.
+by their distinct ids; null item_ids are never reported, though their words are hit; an empty benchmark hits nothing, and empty documents
+give no rows; repeated rows of docs, and rows with equal or null doc_ids, are judged one by one; a document at exactly one word in `share` is
+contaminated. Texts and items are read whole, whatever their length: a long item is cut into parts that overlap by a window less a word, under one id.
+Other columns of docs, whatever their names, pass through clean() and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow, raw, slices
+from quern.llm.common import arrow, raw, slices, stored
 
 WINDOW = 13
-#: Bytes of benchmark text in a block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in a block, and of its arrays and words for each byte of text at most.
+BLOCK_BYTES, TIMES = 4 << 20, 40
+#: Meetings of words and windows that are looked at together.
+MEETINGS = 1 << 20
 #: Every byte that is no part of a word becomes a blank, and A-Z are lowered. Bytes from 0x80 on belong to words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+Items = list[tuple[int | None, bytes]]
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-Windows = dict[bytes, list[tuple[int, tuple[bytes, ...], tuple[int, ...]]]]
-
-
-def filed(items: list[tuple[int | None, bytes]], counts: dict[bytes, int], size: int) -> Windows:
-    """Windows by their rarest word: (its place in the window, the window's words, the items that have it)."""
-    owners: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            owners[tuple(words[i : i + size])].add(item)
-    out: Windows = defaultdict(list)
-    for window, ids in owners.items():
-        place = min(range(len(window)), key=lambda k: (counts.get(window[k], 0), window[k], k))
-        out[window[place]].append((place, window, tuple(i for i in ids if i is not None)))
-    return dict(out)
-
-
-def hits(words: list[bytes], windows: Windows, common: set[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-    """The word ranges that windows cover, and the items whose windows occur."""
-    ranges, items = [], set()
-    if common.isdisjoint(words):
-        return ranges, items
-    for at, word in enumerate(words):
-        if word in common:
-            for place, window, ids in windows[word]:
-                start, stop = at - place, at - place + len(window)
-                if start >= 0 and stop <= len(words) and words[start] == window[0] and tuple(words[start:stop]) == window:
-                    ranges.append((start, stop))
-                    items.update(ids)
-    return ranges, items
+@dataclass
+class Windows:
+    """A block's windows: words by number, the items' words, and for each window (sorted by its rarest word) where its words start, how
+    many there are, the rarest word's place among them, and its items. `first` tells where a word's windows begin."""
+
+    words: dict[bytes, int]
+    text: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    owner_first: np.ndarray
+    owners: np.ndarray
+
+    def bytes(self) -> int:
+        return sum(getattr(self, f).nbytes for f in ("text", "start", "size", "place", "first", "owner_first", "owners")) + sum(len(w) + 100 for w in self.words)
+
+
+def filed(items: Items, counts: dict[bytes, int], size: int) -> Windows:
+    """The distinct windows of a block's items, filed by their rarest word."""
+    split = [words_of(t) for _, t in items]
+    words = {w: k for k, w in enumerate(sorted({w for ws in split for w in ws}))}
+    text = np.array([words[w] for ws in split for w in ws], np.int32)
+    rank = np.empty(len(words), np.int64)
+    rank[np.lexsort((np.arange(len(words)), [counts.get(w, 0) for w in words]))] = np.arange(len(words))
+    begin = np.concatenate([[0], np.cumsum([len(ws) for ws in split])]).astype(np.int64)
+    by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for k, ws in enumerate(split):
+        if ws:
+            n = min(size, len(ws))
+            by_size.setdefault(n, []).append((np.arange(begin[k], begin[k + 1] - n + 1), k))
+    starts, sizes, places, rarest, owned = [], [], [], [], []
+    for n, parts in by_size.items():
+        at = np.concatenate([a for a, _ in parts])
+        item = np.concatenate([np.full(len(a), k) for a, k in parts])
+        rows = text[at[:, None] + np.arange(n)]
+        _, head, same = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        mine = rank[rows[head]]
+        place = mine.argmin(axis=1)
+        base = sum(map(len, starts))
+        starts.append(at[head]), sizes.append(np.full(len(head), n)), places.append(place)
+        rarest.append(rows[head][np.arange(len(head)), place])
+        owned.append(np.stack([same.ravel() + base, item]))
+    if not starts:
+        e = np.zeros(0, np.int64)
+        return Windows(words, text, e, e, e, np.zeros(1, np.int64), np.zeros(1, np.int64), e)
+    rare = np.concatenate(rarest)
+    order = np.argsort(rare, kind="stable")
+    new = np.empty(len(order), np.int64)
+    new[order] = np.arange(len(order))
+    ids = np.array([0 if i is None else i for i, _ in items], np.int64)
+    window, item = np.concatenate(owned, axis=1)
+    known = np.array([i is not None for i, _ in items])[item]
+    pairs = np.unique(np.stack([new[window[known]], ids[item[known]]]), axis=1)
+    return Windows(
+        words,
+        text,
+        np.concatenate(starts)[order],
+        np.concatenate(sizes)[order].astype(np.int16),
+        np.concatenate(places)[order].astype(np.int16),
+        np.searchsorted(rare[order], np.arange(len(words) + 1)),
+        np.searchsorted(pairs[0], np.arange(len(order) + 1)),
+        pairs[1],
+    )
 
 
-def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
+@dataclass
+class Hits:
+    """Of a slice of texts: numbers of words, which words are hit (of all texts, one after the other), and each text's items."""
+
+    n_words: np.ndarray
+    covered: np.ndarray
+    items: dict[int, set[int]]
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.n_words)])
+
+    def n_hit(self) -> np.ndarray:
+        done = np.concatenate([[0], np.cumsum(self.covered)])
+        return done[self.starts[1:]] - done[self.starts[:-1]]
+
+    def ranges(self) -> list[list[dict]]:
+        """Hit words as ranges (end exclusive) for each text."""
+        out: list[list[dict]] = [[] for _ in self.n_words]
+        for k in np.flatnonzero(self.n_hit()).tolist():
+            at = self.starts[k]
+            mine = np.diff(np.concatenate([[0], self.covered[at : self.starts[k + 1]].astype(np.int8), [0]]))
+            out[k] = [{"start": a, "stop": b} for a, b in zip(np.flatnonzero(mine == 1).tolist(), np.flatnonzero(mine == -1).tolist(), strict=True)]
+        return out
+
+
+def found_in(texts: list[bytes], w: Windows) -> Hits:
+    """What a block's windows hit in texts."""
+    split = [words_of(t) for t in texts]
+    n_words = np.array([len(x) for x in split], np.int64)
+    out = Hits(n_words, np.zeros(int(n_words.sum()), bool), {})
+    if not len(w.start) or not len(out.covered):
+        return out
+    number = w.words.get
+    ids = np.fromiter((number(x, -1) for ws in split for x in ws), np.int32, len(out.covered))
+    many = np.diff(w.first)
+    at = np.flatnonzero((ids >= 0) & (many[ids] > 0))
+    edges = np.zeros(len(ids) + 1, np.int64)
+    text_of = np.searchsorted(out.starts, at, side="right") - 1
+    low, high = out.starts[text_of], out.starts[text_of + 1]
+    meet = np.concatenate([[0], np.cumsum(many[ids[at]])])
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(meet, meet[a] + MEETINGS, side="right")) - 1)
+        each = many[ids[at[a:b]]]
+        one = np.repeat(np.arange(a, b), each)
+        window = np.arange(len(one)) - np.repeat(np.cumsum(each) - each, each) + w.first[ids[at[one]]]
+        start = at[one] - w.place[window]
+        stop = start + w.size[window]
+        good = np.flatnonzero((start >= low[one]) & (stop <= high[one]))
+        for j in range(int(w.size.max())):
+            mine = window[good]
+            longer = w.size[mine] > j
+            same = ~longer
+            same[longer] = ids[start[good[longer]] + j] == w.text[w.start[mine[longer]] + j]
+            good = good[same]
+        np.add.at(edges, start[good], 1), np.add.at(edges, stop[good], -1)
+        for k, v in np.unique(np.stack([text_of[one[good]], window[good]]), axis=1).T.tolist() if len(good) else ():
+            out.items.setdefault(k, set()).update(w.owners[w.owner_first[v] : w.owner_first[v + 1]].tolist())
+        a = b
+    out.covered = np.cumsum(edges[:-1]) > 0
     return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The benchmark's items, so many bytes at a time: the driver never holds more than a block."""
+def blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[Items]:
+    """The benchmark's items, so many bytes at a time. The driver holds one part of them that is as large on average, or one item that is larger."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n = max(1, -(-size // block_bytes))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    n = max(1, -(-total // block_bytes))
     for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.item_id, r.text.encode()) for r in rows.collect()]
+        part = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k) if n > 1 else items
+        held, used = [], 0
+        for row in part.collect():
+            for piece in pieces(row.text.encode(), size, block_bytes):
+                if held and used + len(piece) + 16 > block_bytes:
+                    yield held
+                    held, used = [], 0
+                held.append((row.item_id, piece))
+                used += len(piece) + 16
+        if held:
+            yield held
+
+
+def pieces(text: bytes, size: int, most: int) -> Iterator[bytes]:
+    """A long text in parts in which each window is whole."""
+    if len(text) <= most:
+        yield text
+        return
+    words = words_of(text)
+    step = max(1, most // (2 * (max(map(len, words), default=1) + 1)) - size)
+    for i in range(0, max(1, len(words) - size + 1), step):
+        yield b" ".join(words[i : i + step + size - 1])
 
 
 def word_counts(docs: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
@@ -104,66 +220,92 @@ def word_counts(docs: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     found = arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): r.n for r in found.collect()}
+    out = {bytes(r.word): r.n for r in found.collect()}
+    shared.destroy()
+    return out
+
+
+def ready(docs: DataFrame, items: Items, size: int):
+    """The broadcast windows of a block, by the counts of its words in docs(text)."""
+    windows = filed(items, word_counts(docs, {w for _, t in items for w in words_of(t)}), size)
+    if windows.bytes() > TIMES * (sum(len(t) for _, t in items) + 1024):
+        raise ValueError("a block's windows are larger than its text allows")
+    return docs.sparkSession.sparkContext.broadcast(windows)
+
+
+RANGES = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+MARKS = "n_words long, ranges array<struct<start:int,stop:int>>, items array<long>"
+SCHEMA = f"doc_id long, {MARKS}"
+
 
+def marked(rows: DataFrame, shared, key: str, hit_only: bool = False) -> DataFrame:
+    """rows(key, text) -> key and the columns of MARKS by one block's windows; with hit_only, the rows that are hit."""
 
-SCHEMA = "doc_id long, n_words long, ranges array<struct<start:int,stop:int>>, items array<long>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hits = found_in(raw(batch), shared.value)
+            ids = pa.array([sorted(hits.items.get(k, ())) for k in range(batch.num_rows)], pa.list_(pa.int64()))
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits.n_words), pa.array(hits.ranges(), RANGES), ids], names=[key, "n_words", "ranges", "items"])
+            yield out.filter(pa.array(hits.n_hit() > 0)) if hit_only else out
+
+    return arrow(rows.select(key, "text"), run, f"{key} long, {MARKS}")
+
+
+def several(rows: DataFrame, first: list[Items], rest: Iterator[Items], size: int) -> DataFrame:
+    """Marks of the hit rows of a written table rows(row, text) by several blocks: row, ranges (merged) and items."""
+    passes = []
+    for items in (*first, *rest):
+        shared = ready(rows, items, size)
+        passes.append(stored(marked(rows, shared, "row", True), "block"))
+        shared.destroy()
+    every = passes[0]
+    for one in passes[1:]:
+        every = every.unionByName(one)
+    sets = every.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [union([(r["start"], r["stop"]) for r in row]) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"start": a, "stop": b} for a, b in m] for m in merged], RANGES), batch.column(2)], names=["row", "ranges", "items"])
+
+    return arrow(sets, run, "row long, ranges array<struct<start:int,stop:int>>, items array<long>")
+
+
+def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written, with a number for each row."""
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def marks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of docs(doc_id, text): its number of words, the ranges of words inside occurring windows (merged,
     end exclusive) and the ids of the items whose windows occur, in ascending order."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = []
-    for items in blocks(benchmark, block_bytes):
-        counts = word_counts(plain, {w for _, t in items for w in words_of(t)}) if items else {}
-        shared = docs.sparkSession.sparkContext.broadcast(filed(items, counts, size))
+    found = blocks(benchmark, size, block_bytes)
+    one, two = next(found, []), next(found, None)
+    if two is None:
+        return marked(plain, ready(plain, one, size), "doc_id")
+    rows = numbered(plain)
+    hits = several(rows, [one, two], found, size)
+    counted = arrow(rows.select("row", "doc_id", "text"), counts_of, "row long, doc_id long, n_words long")
+    joined = counted.join(hits, "row", "left")
+    none = F.array().cast
+    return joined.select("doc_id", "n_words", F.coalesce("ranges", none("array<struct<start:int,stop:int>>")).alias("ranges"), F.coalesce("items", none("array<long>")).alias("items"))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = shared.value
-            common = set(windows)
-            for batch in slices(batches):
-                split = [words_of(t) for t in raw(batch)]
-                found = [hits(words, windows, common) for words in split]
-                ranges = pa.array([[{"start": a, "stop": b} for a, b in union(r)] for r, _ in found], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-                ids = pa.array([sorted(i) for _, i in found], pa.list_(pa.int64()))
-                n = pa.array(np.array([len(w) for w in split], np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), n, ranges, ids], names=["doc_id", "n_words", "ranges", "items"])
-
-        passes.append((plain, run))
-    if len(passes) == 1:
-        return arrow(plain, passes[0][1], SCHEMA)
-    return merged(plain, [f for _, f in passes])
-
-
-def merged(plain: DataFrame, runs: list) -> DataFrame:
-    """Marks of several blocks, joined by document row. Equal rows have equal marks, so they are marked once and counted."""
-    key = [F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")]
-    rows = plain.select(*key).groupBy("doc_id", "sha").agg(F.count("*").alias("copies"))
-
-    def with_sha(run):
-        def both(batches):
-            for batch in batches:
-                sha = [hashlib.sha256(t).hexdigest() for t in raw(batch)]
-                out = list(run(iter([batch])))
-                table = pa.Table.from_batches(out).append_column("sha", pa.array(sha, pa.string()))
-                yield from table.combine_chunks().to_batches()
-
-        return both
-
-    every = None
-    for run in runs:
-        one = arrow(plain, with_sha(run), SCHEMA + ", sha string")
-        every = one if every is None else every.union(one)
-    sets = every.groupBy("doc_id", "sha").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    low = F.array_sort("ranges")
-    folded = F.aggregate(
-        low,
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["stop"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    joined = rows.alias("r").join(sets.withColumn("ranges", folded).alias("s"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.sha") == F.col("s.sha")))
-    return joined.select("r.doc_id", "s.n_words", "s.ranges", "s.items", F.explode(F.sequence(F.lit(1), F.col("r.copies"))).alias("copy")).drop("copy")
+
+def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        n = pa.array([len(words_of(t)) for t in raw(batch)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["row", "doc_id", "n_words"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -175,23 +317,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
-    found = list(blocks(benchmark, block_bytes))
-    if len(found) > 1:
-        bad = contamination(docs, benchmark, size, share, block_bytes).filter("contaminated").select(F.col("doc_id").alias("__quern_id")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__quern_id")), "left_anti")
-    plain = docs.select(F.col("text").cast("string").alias("text"))
-    counts = word_counts(plain, {w for _, t in found[0] for w in words_of(t)})
-    shared = docs.sparkSession.sparkContext.broadcast(filed(found[0], counts, size))
+    found = blocks(benchmark, size, block_bytes)
+    one, two = next(found, []), next(found, None)
+    if two is None:
+        shared = ready(docs.select(F.col("text").cast("string").alias("text")), one, size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
-        common = set(windows)
-        for batch in slices(batches):
-            keep = []
-            for text in raw(batch):
-                words = words_of(text)
-                n = sum(b - a for a, b in union(hits(words, windows, common)[0]))
-                keep.append(not (n and n * share >= len(words)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return arrow(docs, run, docs.schema)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                n = (hits := found_in(raw(batch), shared.value)).n_hit()
+                yield batch.filter(pa.array((n == 0) | (n * share < hits.n_words)))
+
+        return arrow(docs, run, docs.schema)
+    packed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("of")), "numbered")
+    hits = several(packed.select("row", F.col("of.text").cast("string").alias("text")), [one, two], found, size)
+    n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, x: acc + x["stop"] - x["start"])
+    counted = arrow(packed.select("row", F.lit(None).cast("long").alias("doc_id"), F.col("of.text").cast("string").alias("text")), counts_of, "row long, doc_id long, n_words long")
+    bad = counted.join(hits.select("row", n_hit.alias("n_hit")), "row").filter((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    return packed.join(bad.select("row"), "row", "left_anti").select(*(F.col("of")[c].alias(c) for c in docs.columns))

@@ -7,7 +7,8 @@ a good one. Shorter texts have shorter chunks with limits of their own; the last
 that those before it leave. Texts under 256 bytes are one chunk, the text: below 128 bytes the ratio tells noise from words no more.
 
 Defined cases: a null text counts as empty; a text without words fails the base rules; a null doc_id, repeated rows
-and extra columns change nothing, as each row is judged alone.
+and extra columns, whatever their names, change nothing, as each row is judged alone. A ratio at a limit is within its band, and a share of bad
+bytes at its limit is allowed. Texts are read whole, whatever their length; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -90,7 +90,7 @@ def plain_contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 24, 200])
+@pytest.mark.parametrize("block", [1 << 24, 200, 40])
 def test_contamination(spark, block):
     rng = random.Random(3)
     vocabulary = ["Aa", "bb", "c", "dé", "e1", "ff"]
@@ -108,6 +108,32 @@ def test_contamination(spark, block):
     assert decontamination.contamination(docs, bench.limit(0)).filter("n_hit > 0 or contaminated").isEmpty()
 
 
+@pytest.mark.parametrize("block", [1 << 24, 40])
+def test_equal_and_null_ids_are_judged_by_row(spark, block):
+    items = [(k, f"alpha{k} beta{k} gamma{k}") for k in range(5)]
+    bad = " ".join(t for _, t in items[:3])
+    rows = [(1, bad), (1, "clean words here"), (None, bad), (None, "clean words here"), (2, bad), (2, bad), (3, "clean"), (3, "clean")]
+    docs = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "doc_id long, text string, row string, of string, n_words string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = sorted((tuple(r) for r in decontamination.clean(docs, bench, block_bytes=block).collect()), key=str)
+    assert kept == sorted(((i, t, "a", "b", "c") for i, t in rows if t != bad), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontamination.contamination(docs, bench, block_bytes=block).collect()), key=str)
+    assert got == sorted(((i, n, hit, ids, c) for (i, _), (n, hit, ids, c) in zip(rows, ((n, h, tuple(ids), c) for n, h, ids, c in plain_contamination([t for _, t in rows], items)), strict=True)), key=str)
+
+
+def test_a_long_item_is_cut_and_hot_words_are_met_in_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    long = " ".join(rng.choices(["a", "bb", "ccc", "dd", "e"], k=400))
+    texts = [long[100:400], " ".join(rng.choices(["a", "bb", "ccc"], k=300)), "a " * 50]
+    monkeypatch.setattr(decontamination, "MEETINGS", 7)
+    for most in (60, 300, 1 << 20):
+        windows = [decontamination.filed([(5, p)], {}, 13) for p in decontamination.pieces(long.encode(), 13, most)]
+        hits = [decontamination.found_in([t.encode() for t in texts], w) for w in windows]
+        n = [int(sum(h.covered[h.starts[k] : h.starts[k + 1]] for h in hits).astype(bool).sum()) for k in range(3)]
+        assert n == [w[1] for w in plain_contamination(texts, [(5, long)])]
+
+
+
 def plain_quality(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)
