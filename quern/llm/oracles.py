@@ -90,7 +90,7 @@ _LUHN = f"""list_sum(list_transform(generate_series(1, length({_DIGITS})), lambd
   CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT)
   ELSE CAST(substr(reverse({_DIGITS}), i, 1) AS INT) * 2 - CASE WHEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
 
-# The same thresholds and reach as the default policy.
+# The same thresholds as the default policy.
 ORACLES["op2_pii_disclosure"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
 found AS ({_FOUND}),
@@ -107,24 +107,17 @@ base AS (
     WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0
     WHEN 'card' THEN length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}
     ELSE length({_DIGITS}) BETWEEN 8 AND 15 END),
-sides AS (
-  SELECT row_id, kind || ':' || lower(value) AS entity,
-    CASE WHEN a > 48 THEN regexp_replace(substr(text, a - 47, 48), '^[^ 	-
-]*', '') ELSE substr(text, 1, a) END AS l,
-    CASE WHEN length(text) > b + 48 THEN regexp_replace(substr(text, b + 1, 48), '[^ 	-
-]*$', '') ELSE substr(text, b + 1, 48) END AS r
-  FROM base),
-around AS (SELECT row_id, entity, {_LOWER.format("l")} || chr(10) || {_LOWER.format("r")} AS place FROM sides),
-near AS (SELECT DISTINCT row_id, entity, place, unnest(regexp_extract_all(place, '{_LETTERS}{{4,}}')) AS term FROM around),
-places AS (SELECT entity, term, count(DISTINCT place) AS n FROM near GROUP BY entity, term),
-n_both AS (SELECT entity, term, count(DISTINCT row_id) AS n_both FROM near GROUP BY entity, term),
-n_entity AS (SELECT entity, count(DISTINCT row_id) AS n_entity FROM around GROUP BY entity),
+entities AS (SELECT DISTINCT row_id, md5(text) AS sha, kind || ':' || lower(value) AS entity FROM base),
+n_entity AS (SELECT entity, count(*) AS n_entity, count(DISTINCT sha) AS texts FROM entities GROUP BY entity),
 words AS (SELECT DISTINCT row_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_LETTERS}{{4,}}')) AS term FROM d),
 n_term AS (SELECT term, count(*) AS n_term FROM words GROUP BY term),
+near AS (SELECT row_id, sha, entity, term FROM entities JOIN words USING (row_id)),
+n_both AS (SELECT entity, term, count(*) AS n_both, count(DISTINCT sha) AS both_texts FROM near GROUP BY entity, term),
 told AS (
-  SELECT entity, term, CASE WHEN n_entity < n_docs THEN ln(n_docs * n_both / (n_entity * n_term)) / ln(n_docs / n_entity) ELSE 0.0 END AS told
-  FROM places JOIN n_both USING (entity, term) JOIN n_entity USING (entity) JOIN n_term USING (term), (SELECT count(*) AS n_docs FROM d)
-  WHERE n >= 3),
+  SELECT entity, term, CASE WHEN n_entity < n_docs
+    THEN ln(n_docs * n_both / (n_entity * (n_term + CASE WHEN both_texts < 3 THEN 1 ELSE 0 END))) / ln(n_docs / n_entity) ELSE 0.0 END AS told
+  FROM n_both JOIN n_entity USING (entity) JOIN n_term USING (term), (SELECT count(*) AS n_docs FROM d)
+  WHERE both_texts >= 3 OR 2 * both_texts >= texts),
 mine AS (SELECT row_id, term, max(told) AS told FROM near JOIN told USING (entity, term) WHERE told >= 0.8 GROUP BY row_id, term),
 runs AS (
   SELECT row_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_LETTERS}+')) AS term,

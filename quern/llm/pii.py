@@ -12,9 +12,13 @@ term may meet them by chance, n(t) counts one document more for pairs in fewer t
 
 Base spans come from the patterns alone. The patterns are written with possessive quantifiers and a look at the
 character before, which changes no match but keeps long runs from being scanned again from each of their characters.
+Places of matches are running sums, taken over blocks of BLOCK matches and then over the blocks' sums, so that a text with very many matches takes
+time in proportion to them.
 
 Defined cases: null text counts as empty and stays null in sanitised output; a null doc_id is a document like any other; repeated rows count
-as documents each; entities in every document disclose nothing further; an empty table gives an empty result.
+as documents each; entities in every document disclose nothing further; an empty table gives an empty result; a disclosure at a threshold
+has reached it. Texts are read whole, whatever their length. Other columns of docs pass through, whatever their names: new columns and those used on the way
+begin with `__quern_`.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WS, ascii_lower, stored
+from quern.llm.common import ascii_lower, stored
 
 # The kinds in order, with the pattern of each.
 PATTERNS = {
@@ -41,30 +45,78 @@ SPAN = "struct<kind:string,start:int,stop:int,value:string>"
 BROADCAST_ROWS = 100_000
 
 
+#: Elements that one step of a running sum adds to an array.
+BLOCK = 256
+#: Columns that with_spans() adds: the text (never null), base spans, and spans of revealing terms.
+TEXT, BASE, TERMS = "__quern_text", "__quern_base", "__quern_terms"
+
+
 @dataclass(frozen=True)
 class Policy:
-    """Characters on each side of a document's entities in which terms are looked for (None: the whole text), the different texts
-    that are evidence enough for any pair, and the disclosure thresholds."""
+    """The different texts that are evidence enough for any pair, and the disclosure thresholds."""
 
-    reach: int | None = None
     texts: int = 3
     generalise: float = 0.8
     remove: float = 0.95
 
 
-def located(text: Column, matches: Column, pattern: Column, kind: Column) -> Column:
+def let(value: Column, use) -> Column:
+    """use(value) with the value made once, however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_blocks(values: Column) -> Column:
+    """An array in arrays of BLOCK elements."""
+
+    def cut(v: Column) -> Column:
+        n = F.ceil(F.size(v) / BLOCK).cast("int")
+        return F.transform(F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), 1, n), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+
+    return let(values, cut)
+
+
+def before(values: Column, start: Column, add) -> Column:
+    """For each element what `add` makes of start and the elements before it. Quadratic, for short arrays."""
+    empty = F.array().cast("array<int>")
+    return F.aggregate(values, F.struct(start.cast("int").alias("at"), empty.alias("out")), lambda acc, x: F.struct(add(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def running(values: Column, add) -> Column:
+    """before(values, 0, add) for arrays of any length; add is associative and 0 changes nothing."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, v: add(acc, v).cast("int"))
+    return let(in_blocks(values), lambda parts: F.flatten(F.zip_with(parts, before(F.transform(parts, total), F.lit(0), add), lambda x, at: before(x, at, add))))
+
+
+def located(text: Column, matches: Column, pattern: Column, kind: str) -> Column:
     """Spans of matches, found by regexp_extract_all, from the lengths of what stands between them. Code points, end exclusive."""
     gaps = F.split(text, pattern, -1)
-    empty = F.array().cast(f"array<{SPAN}>")
+    lengths = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.length(g) + F.length(m))
+    ends = let(lengths, lambda n: F.zip_with(n, running(n, lambda a, b: a + b), lambda x, at: x + at))
+    spans = F.zip_with(matches, ends, lambda m, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("stop"), m.alias("value")))
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def furthest(spans: Column, make) -> Column:
+    """make(span, at) for each of spans sorted by start, at being the furthest end of those before it."""
+    return F.zip_with(spans, running(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b)), make)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["hit"])
-        span = F.struct(kind.alias("kind"), start.cast("int").alias("start"), stop.cast("int").alias("stop"), x["hit"].alias("value"))
-        return F.struct(stop.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+def replaced(text: Column, spans: Column, label) -> Column:
+    """text with label(span) in the place of each span. Spans are sorted by start; one that begins inside an earlier one is passed over."""
 
-    pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("hit"), g.alias("gap")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+    def pieces(some: Column) -> Column:
+        # a block's stretch of text is cut out once, then its pieces from it
+        first = F.get(some, F.lit(0))["at"]
+        stretch = F.substring(text, first + 1, F.element_at(some, -1)["start"] - first)
+        return let(stretch, lambda t: F.array_join(F.transform(some, lambda s: F.concat(F.substring(t, s["at"] - first + 1, s["start"] - s["at"]), label(s))), ""))
+
+    def whole(v: Column) -> Column:
+        placed = furthest(v, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+        head = F.array_join(F.transform(in_blocks(F.filter(placed, lambda s: s["start"] >= s["at"])), pieces), "")
+        end = F.array_max(F.transform(v, lambda s: s["stop"]))
+        return F.concat(head, F.substring(text, end + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(spans, whole)).otherwise(text)
 
 
 def digits(value: Column) -> Column:
@@ -84,39 +136,36 @@ VALID = {
 
 
 def with_base_spans(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with _text (never null) and _base, the base spans by kind and start."""
-    out = docs.withColumn("_text", text)
+    """docs with TEXT (never null) and BASE, the base spans by kind and start."""
+    out = docs.withColumn(TEXT, text)
     for kind, pattern in PATTERNS.items():
-        found = F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
+        found = F.regexp_extract_all(TEXT, F.lit(pattern), F.lit(0))
         if kind == "email":
-            found = F.when(F.contains("_text", F.lit("@")), found).otherwise(F.array().cast("array<string>"))
-        out = out.withColumn(f"_m_{kind}", found)
+            found = F.when(F.contains(TEXT, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
+        out = out.withColumn(f"__quern_m_{kind}", found)
     for kind, pattern in PATTERNS.items():
-        out = out.withColumn(f"_s_{kind}", located(F.col("_text"), F.col(f"_m_{kind}"), F.lit(pattern), F.lit(kind)))
-    base = F.concat(*(F.filter(f"_s_{kind}", VALID[kind]) for kind in PATTERNS))
-    return out.withColumn("_base", base).drop(*(f"_{x}_{kind}" for kind in PATTERNS for x in "ms"))
+        out = out.withColumn(f"__quern_s_{kind}", located(F.col(TEXT), F.col(f"__quern_m_{kind}"), F.lit(pattern), kind))
+    base = F.concat(*(F.filter(f"__quern_s_{kind}", VALID[kind]) for kind in PATTERNS))
+    return out.withColumn(BASE, base).drop(*(f"__quern_{x}_{kind}" for kind in PATTERNS for x in "ms"))
+
+
+TERM = f"{LETTERS}{{{MIN_LETTERS},}}"
 
 
 def terms_of(piece: Column) -> Column:
-    return F.regexp_extract_all(piece, F.lit(f"{LETTERS}{{{MIN_LETTERS},}}"), F.lit(0))
+    return F.regexp_extract_all(piece, F.lit(TERM), F.lit(0))
 
 
-def surroundings(text: Column, span: Column, reach: int) -> Column:
-    """What stands within `reach` characters of a span, without words cut at the far ends; both sides apart."""
-    left = F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach)))
-    left = F.when(span["start"] > reach, F.regexp_replace(left, rf"^[^{WS}]*", "")).otherwise(left)
-    right = F.substring(text, span["stop"] + 1, F.lit(reach))
-    right = F.when(F.length(text) > span["stop"] + reach, F.regexp_replace(right, rf"[^{WS}]*\z", "")).otherwise(right)
-    return F.concat(ascii_lower(left), F.lit("\n"), ascii_lower(right))
+def text_of(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
-def mentions(docs: DataFrame, reach: int | None = None) -> DataFrame:
-    """For each row of docs: doc_id, sha (of its text), its distinct entities, and the distinct terms within reach of these (None: all of its text's)."""
-    base = with_base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    entities = F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
-    near = ascii_lower(F.col("_text")) if reach is None else F.array_join(F.transform("_base", lambda s: surroundings(F.col("_text"), s, reach)), "\n")
-    terms = F.when(F.size("_base") > 0, F.array_distinct(terms_of(near))).otherwise(F.array().cast("array<string>"))
-    return base.select("doc_id", F.sha2("_text", 256).alias("sha"), entities.alias("entities"), terms.alias("terms"))
+def mentions(docs: DataFrame) -> DataFrame:
+    """For each row of docs: doc_id, sha (of its text), its distinct entities and, if it has any, its distinct terms."""
+    base = with_base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), text_of(docs))
+    entities = F.array_distinct(F.transform(BASE, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    terms = F.when(F.size(BASE) > 0, F.array_distinct(terms_of(ascii_lower(F.col(TEXT))))).otherwise(F.array().cast("array<string>"))
+    return base.select("doc_id", F.sha2(TEXT, 256).alias("sha"), entities.alias("entities"), terms.alias("terms"))
 
 
 def pairs_of(seen: DataFrame, terms: DataFrame) -> DataFrame:
@@ -159,46 +208,63 @@ def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
     if known.isEmpty():
         return known.select("entity", "term", F.lit(0.0).alias("disclosure"))
     wanted = stored(known.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(terms_of(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))))).alias("term"))
-    # each word once a task before the join, however frequent it is
-    words = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
+    words = docs.select(F.explode(F.array_distinct(terms_of(ascii_lower(text_of(docs))))).alias("term"))
+    # where the wanted terms are few, only these are counted; else each word goes once a task to the join, however frequent it is
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        words = words.join(F.broadcast(wanted), "term")
+    words = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    words = words if few else words.join(wanted, "term")
     return known.join(words, "term").select("entity", "term", share("n_term").alias("disclosure")).filter(F.col("disclosure") >= policy.generalise)
 
 
 def revealing(docs: DataFrame, policy: Policy) -> DataFrame | None:
-    """(doc_id, sha, terms: term -> disclosure) of the documents with revealing terms; None if there are none."""
-    seen = stored(mentions(docs, policy.reach), "mentions")
+    """(doc_id, sha, terms) of the documents with revealing terms: spans of these outside base spans, of kind `generalise` or `remove`;
+    None if there are none."""
+    seen = stored(mentions(docs), "mentions")
     told = stored(disclosures(docs, seen, policy), "told")
     if told.isEmpty():
         return None
     known = stored(told.select("term").distinct(), "told-terms")
     mine = pairs_of(seen.filter(F.size("entities") > 0), known).join(within(told), ["entity", "term"])
-    mine = mine.groupBy("doc_id", "sha", "term").agg(F.max("disclosure").alias("disclosure"))
-    listed = F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "disclosure"))))
-    return stored(mine.groupBy("doc_id", "sha").agg(listed.alias("terms")), "revealing")
+    mine = stored(mine.groupBy("doc_id", "sha", "term").agg(F.max("disclosure").alias("disclosure")), "mine")
+    keys = stored(mine.select("doc_id", "sha").distinct(), "keys")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("sha", F.sha2("text", 256))
+    keyed = keyed.join(within(keys.withColumnsRenamed({"doc_id": "k", "sha": "s"})), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("sha") == F.col("s")), "left_semi")
+    base = with_base_spans(keyed, F.col("text"))
+    # what an entity covers already is the entity's: its characters become X, a letter that no term has
+    by_start = F.array_sort(F.transform(BASE, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    base = base.withColumn("spans", merged(by_start)).withColumn("lower", ascii_lower(F.col("text")))
+    masked = replaced(F.col("lower"), F.col("spans"), lambda s: F.repeat(F.lit("X"), s["stop"] - s["start"]))
+    base = stored(base.select("doc_id", "sha", masked.alias("masked")), "masked")
+    runs = stored(base.select("doc_id", "sha", "masked", terms_of(F.col("masked")).alias("found")).select("doc_id", "sha", located(F.col("masked"), F.col("found"), F.lit(TERM), "term").alias("runs")), "runs")
+    words = runs.select("doc_id", "sha", F.explode("runs").alias("run")).select("doc_id", "sha", "run.start", "run.stop", F.col("run.value").alias("term"))
+    same = F.col("w.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("w.sha") == F.col("m.sha")) & (F.col("w.term") == F.col("m.term"))
+    hits = words.alias("w").join(within(mine).alias("m"), same)
+    kind = F.when(F.col("m.disclosure") >= policy.remove, "remove").otherwise("generalise")
+    span = F.struct("w.start", "w.stop", kind.alias("kind"), F.col("w.term").alias("value"))
+    spans = hits.groupBy("w.doc_id", "w.sha").agg(F.array_sort(F.collect_set(span)).alias("terms"))
+    ordered = F.transform("terms", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
+    return stored(spans.select("doc_id", "sha", ordered.alias("terms")), "revealing")
+
+
+def merged(spans: Column) -> Column:
+    """Spans sorted by start that overlap no more: each begins where those before it end."""
+    cut = let(spans, lambda v: furthest(v, lambda s, at: F.struct(F.greatest(s["start"], at).alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    return F.filter(cut, lambda s: s["start"] < s["stop"])
 
 
 def with_spans(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """docs, all columns, with _text, _base (base spans) and _terms (spans of revealing terms, kind `generalise` or `remove`)."""
+    """docs, all columns, with TEXT, BASE (base spans) and TERMS (spans of revealing terms, kind `generalise` or `remove`)."""
     found = revealing(docs, policy)
     none = F.array().cast(f"array<{SPAN}>")
     if found is None:
-        return with_base_spans(docs, F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_terms", none)
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    mine = within(found).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_other"), F.col("terms").alias("_told"))
-    joined = keyed.join(mine, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_other")), "left").drop("_id", "_other", "_sha")
-    out = with_base_spans(joined, F.coalesce(F.col("text").cast("string"), F.lit("")))
-    pattern = F.concat(F.lit(f"(?<!{LETTERS})(?:"), F.array_join(F.map_keys("_told"), "|"), F.lit(f")(?!{LETTERS})"))
-    out = out.withColumn("_pattern", F.when(F.col("_told").isNotNull(), pattern))
-    out = out.withColumn("_lower", F.when(F.col("_pattern").isNotNull(), ascii_lower(F.col("_text"))))
-    out = out.withColumn("_hits", F.when(F.col("_pattern").isNotNull(), F.regexp_extract_all("_lower", F.col("_pattern"), F.lit(0))))
-    spans = F.when(F.col("_hits").isNotNull(), located(F.col("_lower"), F.col("_hits"), F.col("_pattern"), F.lit("generalise"))).otherwise(none)
-    out = out.withColumn("_terms", spans)
-    kind = lambda s: F.when(F.element_at("_told", s["value"]) >= policy.remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    # what an entity covers already is the entity's
-    free = F.filter("_terms", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    named = F.transform(free, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
-    return out.withColumn("_terms", named).drop("_told", "_pattern", "_lower", "_hits")
+        return with_base_spans(docs, text_of(docs)).withColumn(TERMS, none)
+    keyed = docs.withColumn("__quern_sha", F.sha2(text_of(docs), 256))
+    mine = within(found).select(F.col("doc_id").alias("__quern_id"), F.col("sha").alias("__quern_other"), F.col("terms").alias(TERMS))
+    joined = keyed.join(mine, F.col("doc_id").cast("long").eqNullSafe(F.col("__quern_id")) & (F.col("__quern_sha") == F.col("__quern_other")), "left")
+    joined = joined.drop("__quern_id", "__quern_other", "__quern_sha")
+    return with_base_spans(joined, text_of(joined)).withColumn(TERMS, F.coalesce(TERMS, none))
 
 
 def written(spans: Column) -> Column:
@@ -208,15 +274,9 @@ def written(spans: Column) -> Column:
 
 def sanitised(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """docs, same columns, with text sanitised: entities and generalised terms become <KIND> placeholders, removed terms go."""
-    packed = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("_row"))
-    marked = with_spans(packed, policy).withColumn("_spans", F.array_sort(F.transform(F.concat("_base", "_terms"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))))
-
-    def step(acc: Column, s: Column) -> Column:
-        label = F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "<TERM>").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        piece = F.concat(F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"]), label)
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    text = F.when(F.size("_spans") > 0, whole).otherwise(F.col("text").cast("string"))
-    return marked.select(*(text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
+    marked = with_spans(docs, policy)
+    spans = F.array_sort(F.transform(F.concat(BASE, TERMS), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    label = lambda s: F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "<TERM>").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    marked = marked.withColumn("__quern_spans", spans)
+    text = F.when(F.size("__quern_spans") > 0, replaced(F.col(TEXT), F.col("__quern_spans"), label)).otherwise(F.col("text").cast("string"))
+    return marked.select(*(text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -32,9 +32,9 @@ def of_kind(spans: str, kind: str) -> Column:
 
 def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(of_kind("_base", kind)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
-    every = F.concat("_base", of_kind("_terms", "generalise"), of_kind("_terms", "remove"))
-    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("_base")), 256).alias("base_sha256"), pii.written(every).alias("spans"))
+    counts = [F.size(of_kind(pii.BASE, kind)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    every = F.concat(pii.BASE, of_kind(pii.TERMS, "generalise"), of_kind(pii.TERMS, "remove"))
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col(pii.BASE)), 256).alias("base_sha256"), pii.written(every).alias("spans"))
 
 
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
