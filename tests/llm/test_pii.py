@@ -110,7 +110,7 @@ def test_ten_thousand_matches(spark):
     assert len(rows[3][pii.TERMS]) == 10_000 and [s.start for s in rows[3][pii.TERMS]] == list(range(0, 90_000, 9))
     assert all((r._terms, r._base) == ("t", "b") for r in rows.values())
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
-    assert clean[1] == numbers and clean[2] == " ".join(["<EMAIL>"] * 20_000) and clean[3] == " " * 10_000 + "<EMAIL>" and clean[4] == " <IP>"
+    assert clean[1] == numbers and clean[2] == " ".join(["<EMAIL>"] * 20_000) and clean[3] == "<TERM> " * 10_000 + "<EMAIL>" and clean[4] == "<TERM> <IP>"
 
 
 def test_overlapping_spans(spark):
