@@ -144,13 +144,20 @@ FROM d LEFT JOIN sums USING (row_id)
 ORACLES["op1_revisit_asof"] = r"""
 WITH p AS (
   SELECT page_id, html, url, CASE WHEN page_id % 3 = 0 THEN url || '#top' ELSE regexp_replace(url, '^http://', 'HTTP://') END AS other,
-    '"' || substr(md5(html), 1, 16) || '"' AS tag FROM pages),
-both_kinds AS (
-  SELECT page_id * 2 AS record_id, url AS uri, 1700000000 + page_id * 61 AS at, true AS is_full, page_id, html, tag FROM p
+    '"' || substr(md5(html), 1, 16) || '"' AS tag, regexp_extract(url, '^(https?://[^/]+)', 1) || '/' AS front, '"f' || page_id % 5 || '"' AS front_tag,
+    1700000000 + page_id // 4 * 244 AS base, 'day ' || page_id % 2 AS changed FROM pages),
+records AS (
+  SELECT page_id * 4 AS record_id, url AS uri, base AS at, true AS is_full, false AS is_front, page_id, sha256(html) AS digest, tag, NULL AS changed FROM p
   UNION ALL
-  SELECT page_id * 2 + 1, other, 1700000000 + page_id * 61 + (page_id % 5) * 40000 + 7, false, page_id, html, tag FROM p),
+  SELECT page_id * 4 + 1, other, base + (page_id % 5) * 40000 + 7, false, false, page_id, NULL,
+    CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"stale"' ELSE 'W/' || tag END, NULL FROM p
+  UNION ALL
+  SELECT page_id * 4 + 2, front, base + 10, true, true, page_id, sha256(front_tag), front_tag, changed FROM p
+  UNION ALL
+  SELECT page_id * 4 + 3, front || '?utm_source=x', base + (page_id % 3) * 2440 + 10, false, true, page_id, NULL,
+    CASE WHEN page_id % 4 = 1 THEN NULL ELSE 'W/' || front_tag END, changed FROM p),
 cut AS (
-  SELECT *, regexp_replace(trim(uri), '#.*$', '') AS u FROM both_kinds),
+  SELECT *, regexp_replace(trim(uri), '#.*$', '') AS u FROM records),
 parts AS (
   SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
     lower(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1), '^.*@', '')) AS host,
@@ -164,18 +171,18 @@ named AS (
       CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canon
   FROM parts),
 found AS (
-  SELECT v.record_id, v.canon, v.page_id, v.tag, max(struct_pack(at := r.at, id := r.record_id, page_id := r.page_id, tag := r.tag, html := r.html)) AS r
+  SELECT v.record_id, v.canon, v.is_front, v.page_id, v.tag, v.changed,
+    max(struct_pack(at := r.at, id := r.record_id, page_id := r.page_id, tag := r.tag, changed := r.changed, digest := r.digest)) AS r
   FROM named v LEFT JOIN named r ON r.is_full AND r.canon = v.canon AND r.at < v.at
   WHERE NOT v.is_full GROUP BY ALL),
-judged AS (
-  SELECT *, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"stale"' ELSE 'W/' || tag END AS own,
-    'max-age=' || page_id % 100 AS cache, CAST(page_id % 13 AS VARCHAR) AS age FROM found),
 outcomes AS (
-  SELECT *, CASE WHEN r.id IS NULL THEN 'no_response' WHEN own IS NULL THEN 'unchecked'
-    WHEN regexp_replace(own, '^W/', '') = r.tag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM judged)
+  SELECT *, 'max-age=' || page_id % 100 AS cache, CAST(page_id % 13 AS VARCHAR) AS age,
+    CASE WHEN r.id IS NULL THEN 'no_response' WHEN tag IS NOT NULL AND regexp_replace(tag, '^W/', '') = r.tag THEN 'resolved' WHEN tag IS NOT NULL THEN 'mismatch'
+    WHEN changed IS NULL OR r.changed IS NULL THEN 'unchecked' WHEN changed = r.changed THEN 'resolved' ELSE 'mismatch' END AS outcome FROM found)
 SELECT record_id, canon AS url, r.id AS response_id, outcome,
-  CASE WHEN outcome = 'resolved' THEN 'age: ' || age || chr(10) || 'cache-control: ' || cache || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || own || chr(10) || 'server: s' || r.page_id % 9
-    ELSE 'age: ' || age || chr(10) || 'cache-control: ' || cache || chr(10) || 'content-type: text/plain' || CASE WHEN own IS NULL THEN '' ELSE chr(10) || 'etag: ' || own END END AS headers,
-  CASE WHEN outcome = 'resolved' THEN sha256(r.html) END AS digest
+  concat_ws(chr(10), CASE WHEN NOT is_front THEN 'age: ' || age END, 'cache-control: ' || cache,
+    CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' WHEN NOT is_front THEN 'content-type: text/plain' END,
+    'etag: ' || CASE WHEN outcome = 'resolved' THEN coalesce(tag, r.tag) ELSE tag END, 'last-modified: ' || changed, CASE WHEN outcome = 'resolved' THEN 'server: s' || r.page_id % 9 END) AS headers,
+  CASE WHEN outcome = 'resolved' THEN r.digest END AS digest
 FROM outcomes
 """

@@ -11,7 +11,8 @@ links them is one row for each span.
 
 Defined cases: a record at the very time of the revisit is not earlier; of responses at one time the largest record_id is the latest; null URLs
 and null times never match; a revisit without an earlier response, with validators that differ, or with none to compare, is
-returned unresolved with the reason; records of other kinds are ignored; repeated rows are resolved one by one.
+returned unresolved with the reason; records of other kinds are ignored; repeated rows are resolved one by one. Null headers
+are none; header values are compared and carried whole, whatever their length; other columns of records are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 KEPT_HEADERS = ["connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
 VISIT_PARAMETERS = r"^(?:utm_[a-z]+|gclid|fbclid|phpsessid|jsessionid|sid)(?:=|\z)"
 #: Seconds of a span.
-SPAN_S = 86_400
+SPAN_S = 3_600
 HEADERS = "array<struct<name:string,value:string>>"
 
 
@@ -105,22 +106,36 @@ def resolved(records: DataFrame, span_s: int = SPAN_S) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Records of a crawl over pages(page_id, url, html): each page is a full response and, some time later, a revisit whose URL is written
-    another way. Entity tags come from the html; every seventh revisit has a stale one, every eleventh none."""
-    base = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 61).cast("timestamp_ntz")
-    later = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 61 + (F.col("page_id") % 5) * 40_000 + 7).cast("timestamp_ntz")
+    """Records of a crawl over pages(page_id, url, html), four for each page. The page itself is a full response and, some time later, a revisit
+    whose URL is written another way; entity tags come from the html, every seventh revisit has a stale one, every eleventh none. With each page the front
+    page of its host is captured and later revisited, so hosts have long histories: front pages change, four captures have one time, revisits fall between
+    responses and on their very times, and every fourth has no entity tag but a time of modification."""
+    n = F.col("page_id")
+    base = F.lit(1_700_000_000) + F.floor(n / 4) * 244
+    moment = lambda s: F.timestamp_seconds(s).cast("timestamp_ntz")
     tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    front = F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.lit("/"))
+    front_tag, changed = F.concat(F.lit('"f'), n % 5, F.lit('"')), F.concat(F.lit("day "), n % 2)
 
     def listed(**values: Column) -> Column:
         return F.array(*(F.struct(F.lit(k.replace("_", "-")).alias("name"), v.alias("value")) for k, v in values.items()))
 
-    first = listed(Content_Type=F.lit("text/html"), ETag=tag, Cache_Control=F.lit("max-age=60"), Server=F.concat(F.lit("s"), F.col("page_id") % 9))
-    stale = F.when(F.col("page_id") % 7 == 0, F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), tag))
-    again = listed(Content_Type=F.lit("text/plain"), Cache_Control=F.concat(F.lit("max-age="), F.col("page_id") % 100), Age=(F.col("page_id") % 13).cast("string"))
-    again = F.when(F.col("page_id") % 11 == 0, again).otherwise(F.concat(again, listed(ETag=stale)))
-    other = F.when(F.col("page_id") % 3 == 0, F.concat(F.col("url"), F.lit("#top"))).otherwise(F.regexp_replace("url", "^http://", "HTTP://"))
-    both = F.array(
-        F.struct((F.col("page_id") * 2).alias("record_id"), F.col("url").alias("uri"), base.alias("date"), F.lit("response").alias("kind"), first.alias("headers"), F.sha2("html", 256).alias("digest")),
-        F.struct((F.col("page_id") * 2 + 1).alias("record_id"), other.alias("uri"), later.alias("date"), F.lit("revisit").alias("kind"), again.alias("headers"), F.lit(None).cast("string").alias("digest")),
+    def record(k: int, uri: Column, at: Column, kind: str, headers: Column, digest: Column) -> Column:
+        return F.struct((n * 4 + k).alias("record_id"), uri.alias("uri"), moment(at).alias("date"), F.lit(kind).alias("kind"), headers.alias("headers"), digest.alias("digest"))
+
+    first = listed(Content_Type=F.lit("text/html"), ETag=tag, Cache_Control=F.lit("max-age=60"), Server=F.concat(F.lit("s"), n % 9))
+    stale = F.when(n % 7 == 0, F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), tag))
+    again = listed(Content_Type=F.lit("text/plain"), Cache_Control=F.concat(F.lit("max-age="), n % 100), Age=(n % 13).cast("string"))
+    again = F.when(n % 11 == 0, again).otherwise(F.concat(again, listed(ETag=stale)))
+    other = F.when(n % 3 == 0, F.concat(F.col("url"), F.lit("#top"))).otherwise(F.regexp_replace("url", "^http://", "HTTP://"))
+    front_first = listed(Content_Type=F.lit("text/html"), ETag=front_tag, Last_Modified=changed, Server=F.concat(F.lit("s"), n % 9))
+    front_again = listed(Cache_Control=F.concat(F.lit("max-age="), n % 100), Last_Modified=changed)
+    front_again = F.when(n % 4 == 1, front_again).otherwise(F.concat(front_again, listed(ETag=F.concat(F.lit("W/"), front_tag))))
+    none = F.lit(None).cast("string")
+    records = F.array(
+        record(0, F.col("url"), base, "response", first, F.sha2("html", 256)),
+        record(1, other, base + (n % 5) * 40_000 + 7, "revisit", again, none),
+        record(2, front, base + 10, "response", front_first, F.sha2(front_tag, 256)),
+        record(3, F.concat(front, F.lit("?utm_source=x")), base + (n % 3) * 2440 + 10, "revisit", front_again, none),
     )
-    return pages.select(F.explode(both).alias("r")).select("r.*")
+    return pages.select(F.explode(records).alias("r")).select("r.*")

@@ -74,6 +74,7 @@ def test_against_plain(spark, span):
     assert revisits.resolved(df.limit(0), span).count() == 0
 
 
-def test_query_has_a_row_for_each_revisit(spark):
-    got = queries.op1_revisit_asof(spark, "/root/testdata/sf0.001")
-    assert got.count() == 50 and got.filter("outcome = 'resolved'").count() > 25
+def test_query_chooses_among_histories(spark):
+    got = queries.op1_revisit_asof(spark, "/root/testdata/sf0.01").selectExpr("*", "response_id div 4 = record_id div 4 as own").collect()
+    assert len(got) == 500 and {r.outcome for r in got} == {"resolved", "mismatch", "unchecked", "no_response"}
+    assert sum(r.own is False for r in got) > 50
