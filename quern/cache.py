@@ -171,12 +171,38 @@ class Cache:
 
 
 def key_of(df: DataFrame, params: dict | None = None, versions: dict[str, str] | None = None) -> str:
-    """Names a result by its plan, its parameters and the snapshots it reads: equal names mean equal results. Literals keep their case."""
-    plan = str(df._jdf.queryExecution().analyzed().canonicalized().toString())
-    whole = json.dumps([plan, params or {}, versions or {}], sort_keys=True, default=str)
+    """Names a result by its plan, the files that its scans list with their sizes and times, the rows of its local tables, its parameters and the
+    snapshots it reads: equal names mean equal results. Literals keep their case. A plan over other data that the text does not tell apart
+    (an RDD, a persisted frame) is named by that object, so it is found again only for the same one."""
+    plan = df._jdf.queryExecution().analyzed()
+    whole = json.dumps([str(plan.canonicalized().toString()), leaves(df), params or {}, versions or {}], sort_keys=True, default=str)
     return hashlib.sha256(whole.encode()).hexdigest()
 
 
+def leaves(df: DataFrame) -> list[str]:
+    """What each leaf of the plan reads."""
+    jvm, found = df.sparkSession._jvm, []
+    hadoop = df.sparkSession._jsc.hadoopConfiguration()
+    each = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    while each.hasNext():
+        leaf = each.next()
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            listed = []
+            for f in leaf.relation().location().inputFiles():
+                path = jvm.org.apache.hadoop.fs.Path(f)
+                status = path.getFileSystem(hadoop).getFileStatus(path)
+                listed.append([f, status.getLen(), status.getModificationTime()])
+            found.append(hashlib.sha256(json.dumps(listed).encode()).hexdigest())
+        elif kind == "LocalRelation":
+            found.append(hashlib.sha256(str(leaf.data().mkString("\n")).encode()).hexdigest())
+        elif kind in ("Range", "OneRowRelation"):
+            found.append(str(leaf.canonicalized().toString()))
+        else:
+            found.append(f"{kind}@{jvm.System.identityHashCode(leaf.rdd() if kind == 'LogicalRDD' else leaf)}")
+    return found
+
+
 class QueryCache:
     """Persisted results of queries. A write to a table gives it a new version, so results that read the old one are not found again."""
 
@@ -200,6 +226,8 @@ class QueryCache:
         self.cache.flush()
 
 
-#: Shared caches of the process.
+#: Shared caches of the process, and functions over them.
 values = Cache()
 results = QueryCache()
+get, put, has, forget, remember, flush = values.get, values.set, values.has, values.forget, values.remember, values.flush
+remember_query, forget_table = results.remember, results.forget_table

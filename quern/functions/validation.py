@@ -1,12 +1,13 @@
 """Row validation: each rule is a boolean Column, a check is an array of (field, rule, message), null-free and empty for good rows.
 
-Rules are written as "required|min:3|in:a,b" or as a list of such texts; in a list each text is one rule, so that a pattern may hold
-any character. Unless said otherwise null and empty values pass. Dates and numbers follow one explicit grammar: ISO dates,
+Rules are written as "required|min:3|in:a,b" or as a list of such texts. A pattern may hold any character: in one text `regex:` comes last
+and takes the rest, in a list each text is one rule. Unless said otherwise null and empty values pass. Dates and numbers follow one explicit grammar: ISO dates,
 decimal points, optional thousands commas. Unknown rules raise.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -156,8 +157,12 @@ def any_of(conditions: list[Column]) -> Column:
 
 def read_rules(rules: str | list[str]) -> list[tuple[str, list[str]]]:
     out = []
-    for part in rules.split("|") if isinstance(rules, str) else rules:
-        name, _, args = part.strip().partition(":")
+    if isinstance(rules, str):
+        # a pattern may hold bars: it is the rest of the text
+        head, sep, pattern = rules.partition("regex:") if re.search(r"(?:^|\|)\s*regex:", rules) else (rules, "", "")
+        rules = [x for x in head.split("|") if x.strip() or not sep] + ([f"regex:{pattern}"] if sep else [])
+    for part in rules:
+        name, _, args = (part if part.startswith("regex:") else part.strip()).partition(":")
         if name not in RULES:
             raise ValueError(f"unknown rule {name!r}")
         out.append((name, args.split(",") if args else []))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from quern.functions.validation import Checked, check
 from quern.model import Model, NotFound
+from quern.sources.store import Conflict
 
 if TYPE_CHECKING:
     from quern.context import Context
@@ -168,11 +170,25 @@ class Repository:
         return self._found(search) or self.model(**{**search, **(values or {})})
 
     def first_or_create(self, search: dict, values: dict | None = None) -> Model:
-        return self._found(search) or self.create(**{**search, **(values or {})})
+        """Looks and creates in one transaction: if another writer changed the table meanwhile, it looks again."""
+        return self._alone(lambda: self._found(search) or self.create(**{**search, **(values or {})}))
 
     def update_or_create(self, search: dict, values: dict) -> Model:
-        found = self._found(search)
-        return self.save(found.fill(values)) if found else self.create(**{**search, **values})
+        def work() -> Model:
+            found = self._found(search)
+            return self.save(found.fill(values)) if found else self.create(**{**search, **values})
+
+        return self._alone(work)
+
+    def _alone(self, work: Callable[[], Model], tries: int = 20) -> Model:
+        for k in range(tries):
+            try:
+                with self.store.transaction():
+                    self.store.watch(self.table)
+                    return work()
+            except Conflict:
+                if k == tries - 1:
+                    raise
 
     def _found(self, search: dict) -> Model | None:
         q = self.context.query(self.model)

@@ -19,10 +19,11 @@ def numbered_table(df: DataFrame, order: list[Column] | None = None, name: str =
     table, path = scratch.written(ranged.withColumn("_part", F.shiftright(id_, 33).cast("int")).withColumn("_place", id_.bitwiseAND(F.lit((1 << 33) - 1))))
     total, starts = 0, []
     for part, n in sorted(table.groupBy("_part").count().collect()):
-        starts += [F.lit(part), F.lit(total).cast("long")]
+        starts.append((part, total))
         total += n
-    begin = F.element_at(F.create_map(*starts), F.col("_part")) if starts else F.lit(0).cast("long")
-    return table.withColumn(name, begin + F.col("_place")).drop("_part", "_place"), path
+    # a row for each partition: small, however many rows there are
+    begin = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    return table.join(F.broadcast(begin), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start"), path
 
 
 def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "position") -> DataFrame:

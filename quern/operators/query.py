@@ -19,7 +19,7 @@ from quern.operators.positions import numbered
 if TYPE_CHECKING:
     from quern.context import Context
 
-#: Values in an IN list from which a semi-join with a table of them is planned instead.
+#: Values in an IN list beyond which a join with a table of them is planned instead.
 IN_LIST = 1000
 DIRECTIONS = {"ASC": "asc", "DESC": "desc"}
 
@@ -92,7 +92,7 @@ class Query:
     selected: tuple[str | Column, ...] = ()
     unique: bool = False
     conditions: tuple[p.Condition, ...] = ()
-    lists: tuple[tuple[str, tuple, bool], ...] = ()
+    lists: tuple[tuple[str, tuple, bool, int], ...] = ()
     joins: tuple[Join, ...] = ()
     groups: tuple[str, ...] = ()
     havings: tuple[tuple[str, str, object], ...] = ()
@@ -128,18 +128,26 @@ class Query:
         return p.comparison(column, operator, value)
 
     def where_in(self, column: str, values: Sequence) -> Query:
-        """An empty list matches nothing. A long one becomes a semi-join, if no OR is about."""
-        values = tuple(values)
-        if len(values) > IN_LIST and None not in values:
-            return replace(self, lists=(*self.lists, (column, values, True)))
-        return self._add(named(column).isin(list(values)) if values else F.lit(False))
+        """An empty list matches nothing. A long one becomes a join with a table of its values, under the same AND and OR."""
+        return self._in_list(column, tuple(values), True)
+
+    def or_where_in(self, column: str, values: Sequence) -> Query:
+        return self._in_list(column, tuple(values), True, True)
 
     def where_not_in(self, column: str, values: Sequence) -> Query:
         """An empty list matches all; None in the list matches nothing, as in SQL."""
-        values = tuple(values)
+        return self._in_list(column, tuple(values), False)
+
+    def _in_list(self, column: str, values: tuple, inside: bool, either: bool = False) -> Query:
         if len(values) > IN_LIST and None not in values:
-            return replace(self, lists=(*self.lists, (column, values, False)))
-        return self._add(~named(column).isin(list(values)) if values else F.lit(True))
+            # the condition reads a flag that the join with the list sets
+            flag = F.col(f"__quern_in{len(self.lists)}")
+            hit = F.when(named(column).isNotNull(), flag.isNotNull() if inside else flag.isNull())
+            return replace(self._add(hit, either), lists=(*self.lists, (column, values, inside, len(self.conditions))))
+        if not values:
+            return self._add(F.lit(not inside), either)
+        test = named(column).isin(list(values))
+        return self._add(test if inside else ~test, either)
 
     def where_between(self, column: str, low: object, high: object) -> Query:
         return self._add(named(column).between(F.lit(low), F.lit(high)))
@@ -262,18 +270,31 @@ class Query:
         df = self._visible().alias(self.name)
         for j in self.joins:
             df = df.join(j.frame.alias(j.alias), j.condition, j.how)
+        if self.lists and not any(c.either for c in self.conditions):
+            return self._narrowed(df)
+        for k, (column, values, *_) in enumerate(self.lists):
+            df = df.join(self._listed(df, column, values, k).withColumn(f"__quern_in{k}", F.lit(True)), named(column) == F.col(f"__quern_v{k}"), "left").drop(f"__quern_v{k}")
         test = p.joined(self.conditions)
         if test is not None:
             df = df.filter(test)
-        for column, values, inside in self.lists:
-            # the values come from the caller's own list, so they fit the driver
-            kind = df.select(named(column)).schema[0].dataType
-            listed = df.sparkSession.createDataFrame([(v,) for v in set(values)], "v " + kind.simpleString())
-            df = df.join(listed, named(column) == F.col("v"), "left_semi" if inside else "left_anti")
-            if not inside:
-                df = df.filter(named(column).isNotNull())
+        return df.drop(*(f"__quern_in{k}" for k in range(len(self.lists))))
+
+    def _narrowed(self, df: DataFrame) -> DataFrame:
+        """Without any OR each list is a join of its own, and the other conditions reach the scan."""
+        flags = {place for *_, place in self.lists}
+        test = p.joined([c for i, c in enumerate(self.conditions) if i not in flags])
+        df = df if test is None else df.filter(test)
+        for k, (column, values, inside, _) in enumerate(self.lists):
+            df = df.join(self._listed(df, column, values, k), named(column) == F.col(f"__quern_v{k}"), "left_semi" if inside else "left_anti")
+            df = df if inside else df.filter(named(column).isNotNull())
         return df
 
+    @staticmethod
+    def _listed(df: DataFrame, column: str, values: tuple, k: int) -> DataFrame:
+        # the values come from the caller's own list, so they fit the driver
+        kind = df.select(named(column)).schema[0].dataType
+        return df.sparkSession.createDataFrame([(v,) for v in set(values)], f"__quern_v{k} " + kind.simpleString())
+
     def _grouped(self, df: DataFrame) -> DataFrame:
         keys = [F.expr(g) for g in self.groups]
         chosen = [F.expr(s) if isinstance(s, str) else s for s in self.selected] or keys

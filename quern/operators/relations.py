@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
@@ -47,9 +47,16 @@ class Relation:
         """Visible related rows, with their own relations loaded."""
         return context.query(self.related).with_(*nested).df()
 
+    def wanted(self, context: Context, parents: DataFrame, nested: Iterable[str] = ()) -> DataFrame:
+        """The children of these parents, narrowed by a semi-join before their own relations are loaded and anything is gathered."""
+        keys = parents.select(F.col(self.parent_key).alias("_parent")).distinct()
+        query = context.query(self.related)
+        mine = replace(query, base=query.base.join(keys, query.base[self.child_key] == F.col("_parent"), "left_semi"))
+        return mine.with_(*nested).df()
+
     def attached(self, context: Context, parents: DataFrame, nested: Iterable[str] = ()) -> DataFrame:
         """parents with the relation in a column of its name. Parents without related rows keep an empty array or null."""
-        child = self.children(context, nested)
+        child = self.wanted(context, parents, nested)
         kept = [c for c in child.columns]
         packed = child.groupBy(F.col(self.child_key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct(*self._first(kept)))).alias(self.name))
         out = parents.join(packed, parents[self.parent_key] == F.col("_key"), "left").drop("_key")
@@ -72,7 +79,7 @@ class Relation:
 
     def counted(self, context: Context, parents: DataFrame, name: str | None = None) -> DataFrame:
         """parents with the number of related rows."""
-        n = self.children(context).groupBy(F.col(self.child_key).alias("_key")).agg(F.count("*").alias("_n"))
+        n = self.wanted(context, parents).groupBy(F.col(self.child_key).alias("_key")).agg(F.count("*").alias("_n"))
         out = parents.join(n, parents[self.parent_key] == F.col("_key"), "left")
         return out.withColumn(name or f"{self.name}_count", F.coalesce("_n", F.lit(0))).drop("_key", "_n")
 
@@ -95,7 +102,7 @@ class HasOne(HasMany):
     many = False
 
     def attached(self, context, parents, nested=()):
-        child = self.children(context, nested)
+        child = self.wanted(context, parents, nested)
         columns = self._first(child.columns)
         one = child.groupBy(F.col(self.child_key).alias("_key")).agg(F.min_by(F.struct(*columns), F.col(columns[0])).alias(self.name))
         return parents.join(one, parents[self.parent_key] == F.col("_key"), "left").drop("_key")
@@ -125,7 +132,7 @@ class BelongsTo(Relation):
         return self._key or self.related.meta.key.name
 
     def attached(self, context, parents, nested=()):
-        owner = self.children(context, nested)
+        owner = self.wanted(context, parents, nested)
         one = owner.select(F.col(self.child_key).alias("_key"), F.struct(*owner.columns).alias(self.name))
         return parents.join(one, parents[self.parent_key] == F.col("_key"), "left").drop("_key")
 
@@ -164,26 +171,29 @@ class BelongsToMany(Relation):
     def pairs(self, context: Context) -> DataFrame:
         return (context.table(self.pivot.table) if not isinstance(self._pivot, DataFrame) else self._pivot).select(F.col(self.pivot.left).alias("_left"), F.col(self.pivot.right).alias("_right"))
 
-    def through(self, context: Context, nested: Iterable[str] = ()) -> DataFrame:
-        child = self.children(context, nested)
-        return self.pairs(context).join(child, F.col("_right") == child[self.child_key])
+    def through(self, context: Context, parents: DataFrame, nested: Iterable[str] = ()) -> DataFrame:
+        """The links of these parents with the rows they lead to."""
+        keys = parents.select(F.col(self.parent_key).alias("_parent")).distinct()
+        mine = self.pairs(context).join(keys, F.col("_left") == F.col("_parent"), "left_semi")
+        query = context.query(self.related)
+        led = replace(query, base=query.base.join(mine.select(F.col("_right").alias("_led")).distinct(), query.base[self.child_key] == F.col("_led"), "left_semi"))
+        child = led.with_(*nested).df()
+        return mine.join(child, F.col("_right") == child[self.child_key])
 
     def attached(self, context, parents, nested=()):
-        both = self.through(context, nested)
+        both = self.through(context, parents, nested)
         columns = [c for c in both.columns if c not in ("_left", "_right")]
         packed = both.groupBy("_left").agg(F.array_sort(F.collect_list(F.struct(*self._first(columns)))).alias(self.name))
         out = parents.join(packed, parents[self.parent_key] == F.col("_left"), "left").drop("_left")
         return out.withColumn(self.name, F.coalesce(self.name, F.array().cast(packed.schema[self.name].dataType)))
 
     def joined(self, context, parents, how="inner"):
-        both = self.through(context)
+        both = self.through(context, parents)
         return parents.join(both, parents[self.parent_key] == F.col("_left"), how).drop("_left", "_right")
 
     def of(self, context, parent):
         mine = self.pairs(context).filter(F.col("_left") == F.lit(parent.values[self.parent_key])).select("_right").distinct()
         query = context.query(self.related)
-        from dataclasses import replace
-
         return replace(query, base=query.base.join(mine, query.base[self.child_key] == F.col("_right"), "left_semi"))
 
     def counted(self, context, parents, name=None):

@@ -70,7 +70,9 @@ def source(spark: SparkSession, kind: str, table: str | None = None, *, connecti
     c = connection or Connection(kind, **{k: v for k, v in options.items() if k in Connection.__dataclass_fields__})
     reader = spark.read.format("jdbc").options(**c.options())
     if key and partitions and partitions > 1:
-        low, high = reader.option("query", f"select min({key}) as lo, max({key}) as hi from {table}").load().first()
+        # a reader of its own: options stay with the reader that they are given to
+        asked = spark.read.format("jdbc").options(**c.options())
+        low, high = asked.option("query", f"select min({key}) as lo, max({key}) as hi from {table}").load().first()
         if low is not None:
             reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(partitions))
     return reader.option("dbtable", table).load()

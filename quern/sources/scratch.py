@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary one of our own only where that is unset."""
+    """A new folder below spark.checkpoint.dir; below a temporary one of our own only where that is unset and all runs in this machine's one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)

@@ -68,6 +68,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._open: ContextVar[Staged | None] = ContextVar(f"staged-{uuid.uuid4().hex}", default=None)
+        self._last: dict[str, int] = {}
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -174,6 +175,11 @@ class Store:
                 new.version = uuid.uuid4().hex
             staged.tables[name] = new
 
+    def watch(self, name: str) -> None:
+        """Makes the open transaction's changes conflict with those of others to this table from now on."""
+        old = self.current().get(name)
+        self._open.get().seen.setdefault(name, old.version if old else "")
+
     # --- tables -----------------------------------------------------------------------------------------------
     def has(self, name: str) -> bool:
         return name in self.current()
@@ -315,8 +321,14 @@ class Store:
             return t
 
         self._change(name, make)
+        if number and n:
+            self._last[name] = self.table(name).next_id - 1
         return n
 
+    def last_id(self, name: str) -> int | None:
+        """The last key that this store object numbered in a table; None if it numbered none."""
+        return self._last.get(name)
+
     def appended(self, name: str) -> DataFrame:
         """The rows of the last append or rewrite."""
         t = self.table(name)
@@ -375,7 +387,14 @@ class Store:
         """Updates rows that agree with `rows` on the given columns and, with insert, adds the others. Columns that `rows` lacks, and those
         in `keep`, keep their values in updated rows. Returns the numbers of updated and added rows. `rows` may name each key once."""
         t = self.table(name)
-        rows = rows.select(*(F.col(c).cast(t.struct[c].dataType).alias(c) for c in rows.columns))
+        # written first: what is checked, counted, merged and added are the same rows, whatever the caller's plan gives when run again
+        rows, used = scratch.written(rows.select(*(F.col(c).cast(t.struct[c].dataType).alias(c) for c in rows.columns)))
+        try:
+            return self._merged(name, t, rows, on, insert, number, keep)
+        finally:
+            scratch.drop(self.spark, used)
+
+    def _merged(self, name: str, t: Table, rows: DataFrame, on: list[str], insert: bool, number: str | None, keep: tuple[str, ...]) -> tuple[int, int]:
         twice = rows.groupBy(*on).count().filter("count > 1").limit(1).collect()
         if twice:
             raise Violation(f"{name}: the key {tuple(twice[0])[:-1]!r} comes more than once in the rows to merge")

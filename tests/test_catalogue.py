@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quern.plans import catalogue
+from quern.plans import catalogue, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

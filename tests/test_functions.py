@@ -173,3 +173,10 @@ def test_query_cache(spark):
     assert q.remember(spark.range(5).filter("id > 1"), tables={"T": "v1"}) is one and one.is_cached
     assert q.remember(spark.range(5).filter("id > 2"), tables={"T": "v1"}) is not one and q.remember(spark.range(5).filter("id > 1"), tables={"T": "v2"}) is not one
     assert q.forget_table("t") == 3 and not one.is_cached
+
+
+def test_a_pattern_may_hold_bars(spark):
+    assert validation.read_rules("required|regex:^(a|b)$") == [("required", []), ("regex", ["^(a|b)$"])]
+    assert validation.read_rules("regex:a|b") == [("regex", ["a|b"])] and validation.read_rules(["regex:a|b", "max:3"])[1] == ("max", ["3"])
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "v string")
+    assert [r.ok for r in df.select(F.size(validation.errors({"v": "required|regex:^(a|b)$"})).alias("n")).selectExpr("n = 0 as ok").collect()] == [True, True, False]

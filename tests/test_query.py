@@ -189,3 +189,20 @@ def test_random_conditions_agree_with_sql(spark, parts):
     con.execute("create table t (id int, a int, b int)")
     con.executemany("insert into t values (?, ?, ?)", rows)
     assert ids(q) == sorted(r[0] for r in con.sql(f"select id from t where {sql}").fetchall())
+
+
+@pytest.mark.parametrize("either", [False, True])
+@pytest.mark.parametrize("size", [1000, 1001])
+def test_long_lists_obey_and_and_or(spark, size, either):
+    """Lists on both sides of the limit give the same rows, with OR and without, in any place."""
+    df = spark.range(5000).withColumn("n", F.when(F.col("id") % 11 > 0, F.col("id") % 100)).withColumn("_v0", F.lit(1))
+    q, inside = Query(df), lambda r: r < size
+    also = (lambda q: q.or_where("id", 4999)) if either else (lambda q: q.where("id", "<", 3000))
+    plus = {4999} if either else set()
+    most = 5000 if either else 3000
+    assert ids(also(q.where_in("id", range(size)))) == sorted({r for r in range(5000) if inside(r) and r < most} | plus)
+    assert ids(also(q.where_not_in("id", range(size)))) == sorted({r for r in range(5000) if not inside(r) and r < most} | plus)
+    first = q.where("n", 5).or_where_in("id", range(size)).where_not_in("n", range(-size, 50)) if either else q.where("n", 5).where_in("id", range(size))
+    n = lambda r: r % 100 if r % 11 else None
+    want = [r for r in range(5000) if n(r) == 5 or (inside(r) and n(r) is not None and n(r) >= 50)] if either else [r for r in range(size) if n(r) == 5]
+    assert ids(first) == want

@@ -294,3 +294,14 @@ def test_jdbc(spark, tmp_path):
     csv = f"{tmp_path}/n.csv"
     nation.write.option("header", True).csv(csv)
     assert source(spark, "csv", path=csv, header=True, schema=nation.schema).count() == 25
+
+
+def test_merge_takes_its_rows_once(spark, tmp_path):
+    """Rows that differ each time they are made are merged as they were checked."""
+    store = Store(spark, f"file://{tmp_path}/once")
+    store.create("t", spark.createDataFrame([], "k bigint, v double").schema)
+    store.append("t", spark.range(50).selectExpr("id as k", "-1d as v"))
+    rows = spark.range(100).selectExpr("id as k", "rand() as v").filter("rand() < 0.5")
+    updated, added = store.merge("t", rows, ["k"])
+    got = store.read("t").collect()
+    assert len(got) == 50 + added and sum(r.k < 50 and r.v >= 0 for r in got) == updated and len({r.k for r in got}) == len(got)
