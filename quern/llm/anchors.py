@@ -9,6 +9,10 @@ Texts are named by a hash, so exact copies are handled once. Anchors, passages a
 the arrays of one slice of documents for one bucket of grams. What is settled within a slice, such as the many copies
 of a hot passage, is settled there and only one of them goes on, so a hot gram adds a few entries a slice.
 The grams' hashes only choose candidates: windows are compared by content.
+
+A group whose passages still exceed HOLD_BYTES then (a line or the edge of a passage that very many otherwise different texts share) is taken apart: its
+windows, named by 128 bits of a hash of their content, are settled chunk by chunk and dealt anew by these names, so that no task holds the
+group, whatever its size.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +94,10 @@ class Units:
         """Of each unit: hash, text number, first and last byte (exclusive)."""
         raise NotImplementedError
 
+    def cut(self, content: bytes) -> list[bytes]:
+        """The windows of a passage, one after the other, such that equal windows are equal bytes."""
+        raise NotImplementedError
+
     def pieces(self, text: bytes) -> Iterator[tuple[int, int, bytes]]:
         """Cuts a very long text into pieces (units before, bytes before, bytes) such that each window is whole in exactly one."""
         raise NotImplementedError
@@ -139,6 +148,10 @@ class Words(Units):
     def name(self, text: bytes) -> bytes:
         return b" ".join(text.split())
 
+    def cut(self, content):
+        words = content.split()
+        return [b" ".join(words[i : i + self.size]) for i in range(len(words) - self.size + 1)]
+
     def hashed(self, data, text_starts):
         blank = (data == 32) | ((data >= 9) & (data <= 13))
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
@@ -171,6 +184,9 @@ class Bytes(Units):
     def name(self, text: bytes) -> bytes:
         return text
 
+    def cut(self, content):
+        return [content[i : i + self.size] for i in range(len(content) - self.size + 1)]
+
     def hashed(self, data, text_starts):
         n = len(data)
         # the line ends that join texts belong to the text before, but no window may hold one: they get owners of their own
@@ -323,7 +339,7 @@ def candidates(docs: DataFrame, units: Units, alone: bool, shared: frozenset[int
 
 
 def buckets(docs: DataFrame) -> int:
-    return int(min(1 << 18, max(128, input_bytes(docs) // BUCKET_BYTES)))
+    return int(min(1 << 21, max(128, input_bytes(docs) // BUCKET_BYTES)))
 
 
 def slice_bytes(n_buckets: int) -> int:
@@ -373,8 +389,55 @@ def spans_row(n: int, tid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> l
 Settle = Callable[[Passages], tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]
 #: What it finds in a group: ranges (tid, start, stop).
 Solve = Callable[[Passages], tuple[np.ndarray, np.ndarray, np.ndarray]]
-#: Content bytes of a bucket after which equal passages are settled again.
-HOLD_BYTES = 32 << 20
+#: Content bytes of a bucket after which equal passages are settled again, and beyond which what is left is taken apart.
+HOLD_BYTES = 16 << 20
+
+
+@dataclass
+class Named:
+    """Windows by the names of their contents: name, text, the text's smallest doc_id, place, and whether it is known to repeat."""
+
+    name: np.ndarray  # (n, 2)
+    tid: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray
+    known: np.ndarray
+
+    @classmethod
+    def of(cls, p: Passages, units: Units) -> Named:
+        digest = xxhash.xxh3_128_digest
+        names = np.frombuffer(b"".join(digest(w) for c in p.content for w in units.cut(c)), np.uint64).reshape(-1, 2)
+        n = p.last - p.first + 1
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(p.first, n)
+        return cls(names, np.repeat(p.tid, n), np.repeat(p.doc, n), at, np.zeros(len(at), bool))
+
+    @classmethod
+    def read(cls, rows: list[tuple]) -> Named:
+        join = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in rows])
+        return cls(join(8, np.uint64).reshape(-1, 2), join(2, np.int64), join(3, np.int64), join(4, np.int32).astype(np.int64), join(5, np.int32) > 0)
+
+    def rows(self, n: int) -> list[tuple]:
+        parts = bucketed(self.name[:, 0], n, [self.name, self.tid, self.doc, self.at, self.known])
+        return [(b, False, t.tobytes(), d.tobytes(), a.astype(np.int32).tobytes(), k.astype(np.int32).tobytes(), b"", b"", name.tobytes(), b"") for b, (name, t, d, a, k) in parts]
+
+    def settled(self, alone: bool) -> tuple[Named, np.ndarray]:
+        """What goes on, and which windows are found to repeat: with alone all of a name that has several places, of which one goes on; else
+        those of larger documents than the smallest, whose windows go on."""
+        if not len(self.at):
+            return self, np.zeros(0, np.int64)
+        same = np.unique(self.name, axis=0, return_inverse=True)[1].ravel()
+        if not alone:
+            least = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, same, self.doc)
+            gone = self.doc > least[same]
+            return self.take(np.flatnonzero(~gone)), np.flatnonzero(gone)
+        many = (np.bincount(same) > 1) | (np.bincount(same, self.known) > 0)
+        out = self.take(np.unique(same, return_index=True)[1])
+        out.known = many
+        return out, np.flatnonzero(many[same] & ~self.known)
+
+    def take(self, at: np.ndarray) -> Named:
+        return Named(self.name[at], self.tid[at], self.doc[at], self.at[at], self.known[at])
 
 
 def repeated_ranges(docs: DataFrame, reps: DataFrame, units: Units, settle: Settle, solve: Solve, alone: bool, shared: frozenset[int] = frozenset()) -> DataFrame:
@@ -384,6 +447,7 @@ def repeated_ranges(docs: DataFrame, reps: DataFrame, units: Units, settle: Sett
     n = buckets(docs)
     most = slice_bytes(n)
     listed = candidates(docs, units, alone, shared)
+    hold = HOLD_BYTES
     wanted = listed.join(reps.select("sha", "tid", "rep"), "tid").select("tid", F.col("rep").alias("r"), F.col("sha").alias("s"), "grams")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("sha") == F.col("s"))).select("text", "tid", "r", "grams")
 
@@ -410,26 +474,61 @@ def repeated_ranges(docs: DataFrame, reps: DataFrame, units: Units, settle: Sett
                 out.append(every.take(at).row(b))
             yield from packed(out, PASSAGES)
 
+    def apart(every: Passages) -> Iterator[pa.RecordBatch]:
+        """Windows of a part of a large group: those that repeat in the part are told, and what goes on."""
+        named = Named.of(every, units)
+        go, hit = named.settled(alone)
+        yield from packed(spans_row(n, named.tid[hit], named.at[hit], named.at[hit] + units.size), PASSAGES)
+        yield from packed(go.rows(n), PASSAGES)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, group in by_bucket(batches):
-            held, size = [], 0
+            held, size, most_held, large = [], 0, hold, False
             for row in group:
                 if row[1]:
                     yield from packed([row], PASSAGES)
                     continue
                 held.append(row)
                 size += len(row[8])
-                if size > HOLD_BYTES:
+                if size > most_held:
                     every = Passages.read(held)
                     go, known = settle(every)
                     yield from packed(spans_row(n, *known), PASSAGES)
-                    held = [every.take(go).row(b)]
-                    size = len(held[0][8]) // 2
+                    every = every.take(go)
+                    size = sum(map(len, every.content))
+                    # each time at least as much is new as is held, so the time is linear
+                    large = large or size > hold
+                    if large:
+                        yield from apart(every)
+                        held, size = [], 0
+                    else:
+                        held, most_held = [every.row(b)], size + hold
             if held:
                 every = Passages.read(held)
                 go, known = settle(every)
                 yield from packed(spans_row(n, *known), PASSAGES)
-                yield from packed(spans_row(n, *solve(every.take(go))), PASSAGES)
+                every = every.take(go)
+                if large:
+                    yield from apart(every)
+                else:
+                    yield from packed(spans_row(n, *solve(every)), PASSAGES)
+
+    def by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in by_bucket(batches):
+            held, size, most_held = [], 0, hold
+            for row in group:
+                held.append(row)
+                size += len(row[8])
+                if size > most_held:
+                    named = Named.read(held)
+                    go, hit = named.settled(alone)
+                    yield from packed(spans_row(n, named.tid[hit], named.at[hit], named.at[hit] + units.size), PASSAGES)
+                    held = [r for r in go.rows(1)]
+                    size = 16 * len(go.at)
+                    most_held = size + hold
+            named = Named.read(held)
+            hit = named.settled(alone)[1]
+            yield from packed(spans_row(n, named.tid[hit], named.at[hit], named.at[hit] + units.size), PASSAGES)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("tid", pa.int64()), ("starts", pa.binary()), ("stops", pa.binary())])
@@ -450,5 +549,8 @@ def repeated_ranges(docs: DataFrame, reps: DataFrame, units: Units, settle: Sett
             yield from packed([(int(tid[a]), start[a:b].astype(np.int32).tobytes(), stop[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:])], schema)  # noqa: B905
 
     passages = together(arrow(texts, cut, PASSAGE_DDL))
-    found = arrow(together(arrow(passages, compare, PASSAGE_DDL)), merged, "tid long, starts binary, stops binary")
-    return stored(found, "ranges")
+    compared = stored(arrow(passages, compare, PASSAGE_DDL), "compared")
+    spans, large = compared.filter("done"), compared.filter("not done")
+    if not large.isEmpty():
+        spans = spans.union(arrow(together(large), by_name, PASSAGE_DDL))
+    return stored(arrow(together(spans), merged, "tid long, starts binary, stops binary"), "ranges")

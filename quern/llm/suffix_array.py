@@ -8,7 +8,8 @@ suffix for each insertion. The common prefixes of neighbours in both orders tell
 right of the gram, and so which of their windows are equal.
 
 Defined cases: null texts are empty; texts shorter than SIZE bytes lose nothing; repeated rows and rows with null doc_ids are documents
-like any other, so a text that comes twice and is long enough is removed from each of its rows.
+like any other, so a text that comes twice and is long enough is removed from each of its rows. Texts are read whole, in pieces where they are very long;
+other columns of docs are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

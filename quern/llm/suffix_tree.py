@@ -1,14 +1,16 @@
 """Substring dedup with prefix-partitioned suffix trees over words (operator 9).
 
 A window of SIZE words is removed where a document with a smaller id has it too. Windows that may repeat are sent to
-groups by the gram that anchors them. In a group, each window is a suffix of its passage cut to SIZE words. The suffixes
-are split by prefixes of variable length, a prefix growing word by word while more than GROUP suffixes share it,
-so that each part fits in memory; each part's tree is built downwards, level by level, suffixes that no other shares a node
-with leaving as leaves. The nodes that remain at depth SIZE are the repeats, and each names its smallest document.
+groups by the gram that anchors them. In a group, each window begins a suffix of its passage. The suffixes are counted and split by
+prefixes of variable length, a prefix growing word by word while more than GROUP suffixes share it, so that each part fits
+in memory. Each part's suffix tree is built as the intervals of its sorted suffixes by the words that neighbours share.
+Its internal nodes of depth SIZE or more are the maximal repeats: a suffix loses as many words as the deepest of
+them is deep that a suffix of a smaller document is below as well.
 
 Defined cases: null texts have no words; a null doc_id is neither smaller nor larger than any, so such rows lose nothing and remove
 nothing; rows with equal doc_ids do not remove each other's words; of copies of a text the smallest id is judged against other texts, the others lose
-all words of texts of SIZE words or more.
+all words of texts of SIZE words or more. Texts are read whole, in pieces where they are very long; other columns of docs are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from quern.llm.anchors import Passages, Words, repeated_ranges, with_ids
 from quern.llm.common import arrow, raw, slices, stored
 
 SIZE, GRAM = 13, 4
-#: Suffixes in a part.
-GROUP = 1 << 20
+#: Suffixes in a part; a part's sorted suffixes are held as rows of words.
+GROUP = 1 << 15
 
 
 def settle(p: Passages):
@@ -68,20 +70,27 @@ def parts(words: np.ndarray, at: np.ndarray, own: np.ndarray, depth: int) -> Ite
         yield at[order[start:]], own[order[start:]], depth
 
 
-def repeats(words: np.ndarray, at: np.ndarray, own: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tree of a part, downwards from depth: suffixes below nodes of depth SIZE with two suffixes or more, and their nodes."""
-    node = np.zeros(len(at), np.int64)
-    for d in range(depth, SIZE):
-        node, counts = np.unique(node * (int(words.max()) + 1) + words[at + d], return_inverse=True, return_counts=True)[1:]
-        inner = counts[node] > 1
-        at, own, node = at[inner], own[inner], node[inner]
-        if not len(at):
-            break
-    return at, own, node
+def repeats(words: np.ndarray, at: np.ndarray, stop: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The suffix tree of a part, as the intervals of its sorted suffixes that share a prefix. For each suffix (from `at` to `stop`) the length of the longest
+    prefix that it shares with a smaller document's suffix, if that is SIZE or more: the deepest node above it of that depth which
+    such a suffix is below too. Else 0."""
+    longest = int((stop - at).max())
+    columns = at[:, None] + np.arange(longest + 1)
+    # suffixes end in marks of their own, so that no two are equal
+    letters = np.where(columns < stop[:, None], words[np.minimum(columns, len(words) - 1)], -1 - np.arange(len(at))[:, None])
+    order = np.lexsort(letters.T[::-1])
+    shared = (letters[order[1:]] != letters[order[:-1]]).argmax(axis=1)
+    out = np.zeros(len(at), np.int64)
+    docs = doc[order]
+    for depth in np.unique(shared[shared >= SIZE]).tolist():  # internal nodes, from the root down
+        node = np.concatenate([[0], np.cumsum(shared < depth)])
+        least = np.minimum.reduceat(docs, np.flatnonzero(np.concatenate([[True], shared < depth])))
+        out[order[docs > least[node]]] = depth
+    return out
 
 
 def solve(p: Passages):
-    """Ranges of the windows that a smaller document of the group has too."""
+    """Ranges of the maximal repeats of a group that a smaller document has too."""
     e = np.zeros(0, np.int64)
     if not len(p.tid):
         return e, e, e
@@ -90,26 +99,22 @@ def solve(p: Passages):
     base = np.concatenate([[0], np.cumsum(windows + SIZE - 1)[:-1]])
     own = np.repeat(np.arange(len(windows)), windows)
     nth = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
-    hit_at, hit_own = [], []
-    for at, mine, depth in parts(words, base[own] + nth, own, 0):
-        at, mine, node = repeats(words, at, mine, depth)
-        if len(at):
-            least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, node, p.doc[mine])
-            gone = p.doc[mine] > least[node]
-            hit_at.append(at[gone]), hit_own.append(mine[gone])
+    hit_at, hit_own, hit_stop = [], [], []
+    for at, mine, _ in parts(words, base[own] + nth, own, 0):
+        if len(at) > 1:
+            length = repeats(words, at, (base + windows + SIZE - 1)[mine], p.doc[mine])
+            gone = length > 0
+            hit_at.append(at[gone]), hit_own.append(mine[gone]), hit_stop.append((at + length)[gone])
     if not hit_at:
         return e, e, e
-    at, mine = np.concatenate(hit_at), np.concatenate(hit_own)
+    at, mine, stop = np.concatenate(hit_at), np.concatenate(hit_own), np.concatenate(hit_stop)
     order = np.argsort(at)
-    at, mine = at[order], mine[order]
+    at, mine, stop = at[order], mine[order], stop[order]
     if not len(at):
         return e, e, e
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (mine[1:] != mine[:-1])])
-    a = np.flatnonzero(new)
-    b = np.concatenate([a[1:] - 1, [len(at) - 1]])
-    start = p.first[mine[a]] + at[a] - base[mine[a]]
-    return p.tid[mine[a]], start, start + (at[b] - at[a]) + SIZE
+    a = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (mine[1:] != mine[:-1])]))
+    shift = (p.first - base)[mine[a]]
+    return p.tid[mine[a]], at[a] + shift, np.maximum.reduceat(stop, a) + shift
 
 
 def one_space(text: F.Column) -> F.Column:

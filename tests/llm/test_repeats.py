@@ -192,3 +192,44 @@ def test_an_anchor_across_a_cut_is_one_place(monkeypatch):
             got = dict(zip(*(x.tolist() for x in np.unique(gram, return_counts=True))))
             assert got == {g: min(len(set(p)), 1 + alone) for g, p in places.items()}
     assert crossed
+
+
+def test_prefixes_of_several_lengths(monkeypatch):
+    """Frequent prefixes grow, rare ones do not; the parts hold all suffixes once, and none is above its size unless all its words are equal."""
+    rng = random.Random(4)
+    words = np.array([rng.choice([0, 0, 0, 0, 1, 2, rng.randrange(3, 40)]) for _ in range(3000)], np.int64)
+    at = np.arange(len(words) - 13)
+    monkeypatch.setattr(suffix_tree, "GROUP", 40)
+    found = list(suffix_tree.parts(words, at, at, 0))
+    assert len({depth for *_, depth in found}) > 4
+    assert sorted(i for part, *_ in found for i in part.tolist()) == at.tolist()
+    assert all(len(part) <= 40 or depth == suffix_tree.SIZE for part, _, depth in found)
+    for part, _, depth in found:
+        assert len({tuple(words[i : i + depth]) for i in part.tolist()}) == 1
+
+
+def test_maximal_repeats():
+    """Of two texts that share 20 words, the later one's first suffix has a node of depth 20 above it."""
+    words = np.array([*range(100, 105), *range(20), 200, *range(20), 300], np.int64)
+    at, stop = np.array([5, 26]), np.array([26, 47])
+    assert suffix_tree.repeats(words, at, stop, np.array([1, 2])).tolist() == [0, 20]
+    assert suffix_tree.repeats(words, at, stop, np.array([2, 2])).tolist() == [0, 0]
+
+
+def test_one_line_in_very_many_texts(spark, tmp_path, monkeypatch):
+    """A line that thousands of otherwise different texts have, and passages that reach into their own words: the group is taken apart."""
+    monkeypatch.setattr(anchors, "HOLD_BYTES", 300_000)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnop"
+    own = lambda n: " ".join("".join(rng.choices(letters, k=6)) for _ in range(n))
+    line, passage = "released under the terms of some license or other, which all of these texts have", own(40)
+    texts = [f"{own(30)} {line} {own(30)}" + (f" {passage} {own(20)}" if k % 3 == 0 else "") for k in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    size = len(passage.encode())
+    rows = {r.doc_id: r for r in queries.op8_deep_shallow(spark, str(tmp_path)).collect()}
+    # chance neighbours: the blank before and after the passage, and at times some letters more
+    assert all(0 <= rows[k].n_removed - (size + 2) < 14 if k % 3 == 0 else rows[k].n_removed == 0 for k in rows) and len(rows) == 6000
+    rows = {r.doc_id: r for r in queries.op9_prefix_suffix_trees(spark, str(tmp_path)).collect()}
+    # the line has 15 words; a neighbouring word may be the same by chance
+    assert rows[0].n_removed == 0 and all(0 <= rows[k].n_removed - (55 if k % 3 == 0 else 15) < 3 for k in rows if k)
