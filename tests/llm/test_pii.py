@@ -114,7 +114,8 @@ def test_ten_thousand_matches(spark):
 
 
 def test_overlapping_spans(spark):
-    """A card inside a phone number and a term that touches an address."""
-    text = "call +49 4111 1111 1111 1111 now éabcd@x.org"
+    """Addresses inside a phone number, and letters that touch an address."""
+    text = "call +1.2.3.4.5.6.7.8 now éabcd@x.org"
+    assert [k for k, *_ in plain_spans(text)] == ["email", "ip", "ip", "phone"]
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert pii.sanitised(docs).first().text == "call <PHONE> now é<EMAIL>" or plain_spans(text)[0][0] == "card"
+    assert pii.sanitised(docs).first().text == "call <PHONE> now é<EMAIL>"
