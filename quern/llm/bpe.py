@@ -10,7 +10,7 @@ Spark spreads the documents; each task walks the trie of the distinct words of a
 and keeps word encodings in a cache of bounded size. Nothing is shuffled.
 
 Defined cases: a null text counts as empty and has no ids; null ids decode to the empty string; rows are
-independent, so repeated rows, null doc_ids and extra columns change nothing. A word as long as a whole text is a path of the trie like any other.
+independent, so repeated rows, null doc_ids and extra columns change nothing. A word as long as a whole text is a path of the trie like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ group of near copies yields rows in proportion to its members. A run beyond LIMI
 compared in blocks, each pair of blocks by a task of its own.
 
 Defined cases: null texts and texts without words have fingerprint 0 and link like any other; fewer than three words
-make one shingle; null doc_ids are never component ids unless a whole component has none; repeated rows share a component.
+make one shingle; null doc_ids are never component ids unless a whole component has none; repeated rows share a component. A bit that exactly half of the
+hashes have is not set. Texts are read whole, whatever their length; other columns of docs, whatever their names, pass through one_of_each() and are ignored
+elsewhere; an empty table gives an empty result. Of rows with one doc_id and one fingerprint one_of_each() keeps any one.
 """
 
 from __future__ import annotations

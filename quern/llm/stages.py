@@ -1,4 +1,9 @@
-"""Pipeline stages over the operators: functions of (spark, docs, sf_dir). Rows keep their columns but where a stage says otherwise."""
+"""Pipeline stages over the operators: functions of (spark, docs, sf_dir). Rows keep their columns but where a stage says otherwise.
+
+Defined cases, for all stages: a null text counts as empty (the quality rules drop it); null doc_ids are documents like any other; texts are read
+whole, whatever their length; repeated rows are judged one by one but in near_dedup, where one stays; ties are settled as each operator's module says;
+columns besides those named pass through, whatever their names; an empty table gives an empty result. sanitise() needs a column n_chars, token_ids() needs
+lang and source."""
 
 from __future__ import annotations
 
@@ -24,8 +29,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-
-
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and terms that reveal them, in the texts; n_chars follows the text where it changes."""
     done = pii.sanitised(docs.withColumn("__quern_old", F.col("text")))

@@ -5,7 +5,8 @@ since neither words nor special strings reach over such a place. The pieces' len
 whole, and equal pieces have equal lengths: a task gives the library each distinct piece once, in batches of about
 equal bytes, so neither a long document nor a hot piece swells a batch. Other files see whole texts, in such batches.
 
-Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows, null doc_ids and extra columns change nothing.
+Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows, null doc_ids and extra columns, whatever their names, change nothing. Texts are
+read whole, whatever their length; a text of exactly the limit is not over it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,10 +60,10 @@ def counter(path: str):
 
 
 def balanced(items: list[str]) -> Iterator[list[str]]:
-    """Runs of items of about BATCH_BYTES."""
+    """Runs of items of about BATCH_BYTES in UTF-8."""
     start = size = 0
     for i, x in enumerate(items):
-        size += len(x) + 1
+        size += len(x.encode()) + 1
         if size >= BATCH_BYTES:
             yield items[start : i + 1]
             start, size = i + 1, 0
@@ -86,7 +87,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             new = list({p for words in split for p in words if p not in known})
             for some in balanced(new):
                 known.update(zip(some, count(some), strict=True))
-            size += sum(map(len, new)) + 180 * len(new)
+            size += sum(len(p.encode()) for p in new) + 180 * len(new)
             n_tokens = np.array([sum(map(known.__getitem__, words)) for words in split], np.int64)
             n_bytes = byte_lengths(batch.column(1))
             if size > CACHE_BYTES or not safe:
