@@ -65,10 +65,10 @@ def test_quality(found):
 def test_decontamination(items, found):
     items = list(enumerate(items))
     windows = decontamination.filed([(i, t.encode()) for i, t in items], {b"a": 5}, 13)
-    for text, want in zip(found, plain_contamination(found, items), strict=True):
-        words = decontamination.words_of(text.encode())
-        ranges, ids = decontamination.hits(words, windows, set(windows))
-        assert (len(words), sum(b - a for a, b in decontamination.union(ranges)), sorted(ids)) == want[:3]
+    got = decontamination.found_in([t.encode() for t in found], windows)
+    for k, want in enumerate(plain_contamination(found, items)):
+        n = sum(r["stop"] - r["start"] for r in got.ranges()[k])
+        assert (int(got.n_words[k]), n, sorted(got.items.get(k, ()))) == want[:3] and n == got.n_hit()[k]
 
 
 @settings(max_examples=100, deadline=None)
