@@ -7,11 +7,13 @@ import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -23,11 +25,34 @@ WS = r"\x20\x09-\x0D"
 SLICE_BYTES = 4 << 20
 
 
+#: Tables that stored() wrote in the innermost temporaries().
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that stored() writes inside, but for the last of them, the result, which counts as written by what is around."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+        result = made.pop() if made else None
+    finally:
+        _made.reset(token)
+        for path in made:
+            scratch.drop(spark, path)
+    around = _made.get()
+    if result and around is not None:
+        around.append(result)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: the lineage ends there, and lost
     executors cost no recomputation. Unlike checkpoint() the rows are computed once. The table stays until the
-    folder is cleared, since later plans may read it at any time."""
+    folder is cleared, since later plans may read it at any time, or until the end of temporaries()."""
     path = f"{scratch.folder(df.sparkSession)}-{label}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,7 +72,17 @@ def arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
             for f in package.rglob("*.py"):
                 z.write(f, f.relative_to(package.parent))
         sc.addPyFile(str(folder / "quern_package.zip"))
-    return df.mapInArrow(run, schema)
+    odd = {c: f"__quern_column_{i}" for i, c in enumerate(df.columns) if set(".`") & set(c)} if isinstance(schema, StructType) else {}
+    if not odd:
+        return df.mapInArrow(run, schema)
+    # mapInArrow cannot name columns with dots
+    plain = StructType([StructField(odd.get(f.name, f.name), f.dataType, f.nullable) for f in schema])
+    return df.toDF(*(odd.get(c, c) for c in df.columns)).mapInArrow(run, plain).toDF(*schema.names)
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """The columns of these names, whatever characters they have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def input_bytes(df: DataFrame) -> int:

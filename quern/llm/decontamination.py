@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow, raw, slices, stored
+from quern.llm.common import arrow, quoted, raw, slices, stored
 
 WINDOW = 13
 #: Bytes of benchmark text in a block, and of its arrays and words for each byte of text at most.
@@ -328,7 +328,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int
                 yield batch.filter(pa.array((n == 0) | (n * share < hits.n_words)))
 
         return arrow(docs, run, docs.schema)
-    packed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("of")), "numbered")
+    packed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*quoted(docs.columns)).alias("of")), "numbered")
     hits = several(packed.select("row", F.col("of.text").cast("string").alias("text")), [one, two], found, size)
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, x: acc + x["stop"] - x["start"])
     counted = arrow(packed.select("row", F.lit(None).cast("long").alias("doc_id"), F.col("of.text").cast("string").alias("text")), counts_of, "row long, doc_id long, n_words long")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontamination, pii, quality, simhash
+from quern.llm.common import quoted
 from quern.llm.queries import BYTE_BPE
 
 
@@ -33,7 +34,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and terms that reveal them, in the texts; n_chars follows the text where it changes."""
     done = pii.sanitised(docs.withColumn("__quern_old", F.col("text")))
     n = F.when(F.col("text").eqNullSafe(F.col("__quern_old")), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return done.withColumn("n_chars", n).select(*docs.columns)
+    return done.withColumn("n_chars", n).select(*quoted(docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
