@@ -14,13 +14,14 @@ compared in blocks, each pair of blocks by a task of its own.
 Defined cases: null texts and texts without words have fingerprint 0 and link like any other; fewer than three words
 make one shingle; null doc_ids are never component ids unless a whole component has none; repeated rows share a component. A bit that exactly half of the
 hashes have is not set. Texts are read whole, whatever their length; other columns of docs, whatever their names, pass through one_of_each() and are ignored
-elsewhere; an empty table gives an empty result. Of rows with one doc_id and one fingerprint one_of_each() keeps any one.
+elsewhere; an empty table gives an empty result. Of rows with one doc_id and one fingerprint one_of_each() keeps that with the smallest text, then by its other columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow, plus, raw, slices, stored
+from quern.llm.common import arrow, plus, quoted, raw, slices, stored
 from quern.llm.components import components
 
 SEGMENTS, BITS, DISTANCE, WORDS, SEED = 8, 8, 3, 3, 42
 BUDGETS = [DISTANCE * n // SEGMENTS for n in range(1, SEGMENTS + 1)]
 #: Members of a run that one task compares with each other.
 LIMIT = 2048
+#: Where a key has the start of its chain: before 29 bits in ring_keys(), before 60 in finer_keys().
+RING, FINER = 29, 60
+#: Pairs that forest() holds before it joins their groups.
+HELD_PAIRS = 1 << 20
 
 
 def hashes(text: bytes) -> list[int]:
@@ -91,6 +96,21 @@ def ring_keys(fp: Column) -> Column:
     return F.array(*out)
 
 
+def finer_keys(key: Column, fp: Column) -> Column:
+    """The 20 keys of a member of a large run: three of the six parts of the bits that `key` leaves open. Hashed, as equal keys only make candidates."""
+    start, half = F.shiftright(key, RING), F.shiftright(key, RING - 1).bitwiseAND(F.lit(1))
+
+    def turned_by(i: int) -> Column:
+        return F.shiftleft(fp, BITS * i).bitwiseOR(F.shiftrightunsigned(fp, 64 - BITS * i)) if i else fp
+
+    turned = F.element_at(F.array(*(turned_by(i) for i in range(SEGMENTS))), (start + 1).cast("int"))
+    other = F.when(half == 0, F.shiftrightunsigned(turned, 24)).otherwise(F.shiftrightunsigned(turned, 36)).bitwiseAND(F.lit(0xFFF))
+    rest = F.shiftleft(other, 24).bitwiseOR(turned.bitwiseAND(F.lit(0xFFFFFF)))
+    masks = [sum(0x3F << 6 * p for p in three) for three in combinations(range(6), 3)]
+    named = [F.xxhash64(key, F.lit(k), rest.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)]
+    return F.array(*(F.shiftleft(start, FINER).bitwiseOR(F.shiftrightunsigned(h, 64 - FINER)) for h in named))
+
+
 def close(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which pairs keep within the budgets of all prefixes of the chain from `start`; the last is the Hamming check."""
     x, turn = a ^ b, (BITS * start).astype(np.uint64)
@@ -101,12 +121,26 @@ def close(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     return alive
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's group after the pairs (a, b) have joined the groups of `label`."""
+    a, b = np.concatenate([a, np.arange(len(label))]), np.concatenate([b, label])
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label
+        label = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def forest(fps: np.ndarray, run: np.ndarray, start: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links each fingerprint to the smallest of its group within its run. fps of a run stand together; with `other`
     (0 or 1: the block of each), only pairs across blocks count."""
     n = len(fps)
     label = np.arange(n)
-    lefts, rights = [], []
+    lefts, rights, held = [], [], 0
     for gap in range(1, n):
         at = np.flatnonzero(run[:-gap] == run[gap:])
         if not len(at):
@@ -115,17 +149,12 @@ def forest(fps: np.ndarray, run: np.ndarray, start: np.ndarray, other: np.ndarra
             at = at[other[at] != other[at + gap]]
         good = at[close(fps[at], fps[at + gap], start[at])]
         lefts.append(good), rights.append(good + gap)
-    if not lefts:
-        return fps[:0], fps[:0]
-    a, b = np.concatenate(lefts), np.concatenate(rights)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
+        held += len(good)
+        if held > HELD_PAIRS:
+            label = joined(label, np.concatenate(lefts), np.concatenate(rights))
+            lefts, rights, held = [], [], 0
+    if held:
+        label = joined(label, np.concatenate(lefts), np.concatenate(rights))
     moved = np.flatnonzero(label != np.arange(n))
     return fps[moved], fps[label[moved]]
 
@@ -133,7 +162,7 @@ def forest(fps: np.ndarray, run: np.ndarray, start: np.ndarray, other: np.ndarra
 PAIRS = "a long, b long, hot boolean"
 
 
-def compare_runs(batches: Iterator[pa.RecordBatch], limit: int = LIMIT) -> Iterator[pa.RecordBatch]:
+def compare_runs(batches: Iterator[pa.RecordBatch], limit: int = LIMIT, start_at: int = RING) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp) sorted by both -> links (a, b, false), and the rows of runs beyond `limit` as (key, fp, true)."""
     keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
     hot_key = None
@@ -151,7 +180,7 @@ def compare_runs(batches: Iterator[pa.RecordBatch], limit: int = LIMIT) -> Itera
         some = np.flatnonzero((size > 1) & ~large)
         if len(some):
             run = np.repeat(np.arange(len(sizes)), sizes)[some]
-            a, b = forest(fps[some].view(np.uint64), run, keys[some] >> 29)
+            a, b = forest(fps[some].view(np.uint64), run, keys[some] >> start_at)
             if len(a):
                 yield out(a, b, False)
 
@@ -185,7 +214,7 @@ def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def finish(rows):
         fps, within = rows[4].view(np.uint64), rows[1][0] == rows[2][0]
-        a, b = forest(fps, np.zeros(len(fps), np.int64), rows[0] >> 29, None if within else rows[3])
+        a, b = forest(fps, np.zeros(len(fps), np.int64), rows[0] >> FINER, None if within else rows[3])
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.zeros(len(a), bool))], names=["a", "b", "hot"])
 
     for batch in batches:
@@ -210,12 +239,20 @@ def hot_links(hot: DataFrame) -> DataFrame:
     return arrow(dealt, compare_blocks, PAIRS)
 
 
+def compared(keyed: DataFrame, start_at: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """keyed(key, fp) -> links (a, b) within runs, and the rows (key, fp) of runs beyond LIMIT."""
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    found = stored(arrow(dealt, partial(compare_runs, limit=LIMIT, start_at=start_at), PAIRS), label)
+    return found.filter("not hot").select("a", "b"), found.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """fps(fp), distinct -> (a, b): links that join exactly the fingerprints at 3 or fewer differing bits into groups."""
-    keyed = fps.select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp")
-    found = stored(arrow(keyed.repartition("key").sortWithinPartitions("key", "fp"), partial(compare_runs, limit=LIMIT), PAIRS), "links")
-    out = found.filter("not hot").select("a", "b")
-    hot = found.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    out, hot = compared(fps.select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp"), RING, "links")
+    if hot.isEmpty():
+        return out
+    finer, hot = compared(hot.select(F.explode(finer_keys(F.col("key"), F.col("fp"))).alias("key"), "fp"), FINER, "finer-links")
+    out = out.union(finer)
     return out if hot.isEmpty() else out.union(stored(hot_links(hot), "hot-links").select("a", "b"))
 
 
@@ -239,10 +276,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of which one stays for each group: the row with the smallest doc_id."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = stored(with_fingerprints(plain).select("doc_id", "fp"), "prints")
-    found = groups(prints)
-    best = prints.join(found, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"), F.count("*").alias("n"))
+    best = prints.join(groups(prints), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"))
     keep = stored(best.select(F.col("best.doc_id").alias("__quern_id"), F.col("best.fp").alias("__quern_keep")), "keep")
-    marked = with_fingerprints(docs, "__quern_fp")
-    out = marked.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__quern_id")) & (F.col("__quern_fp") == F.col("__quern_keep")), "left_semi")
-    same = prints.join(keep, prints["doc_id"].eqNullSafe(keep["__quern_id"]) & (prints["fp"] == keep["__quern_keep"]), "left_semi").groupBy("doc_id", "fp").count().filter("count > 1")
-    return out.drop("__quern_fp") if same.isEmpty() else out.dropDuplicates(["doc_id", "__quern_fp"]).drop("__quern_fp")
+    again = stored(prints.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__quern_again")), "again")
+    mine, several = F.col("doc_id").cast("long").eqNullSafe(F.col("__quern_id")), F.col("doc_id").cast("long").eqNullSafe(F.col("__quern_again"))
+    out = docs.join(keep, mine, "left_semi")
+    if again.isEmpty():
+        return out
+    # where rows share a doc_id, their fingerprints tell which is meant
+    marked = with_fingerprints(docs.join(again, several, "left_semi"), "__quern_fp")
+    marked = marked.join(keep, mine & (F.col("__quern_fp") == F.col("__quern_keep")), "left_semi")
+    row = F.struct(*quoted(docs.columns))
+    same = marked.groupBy("doc_id", "__quern_fp").agg(F.min_by(row, F.struct(F.col("text").cast("string"), F.to_json(row))).alias("__quern_row"))
+    return out.join(again, several, "left_anti").union(same.select("__quern_row.*"))

@@ -209,6 +209,35 @@ def test_groups_of_fingerprints(spark, monkeypatch, limit):
     assert [by[p] for p in prints] == plain_groups(prints)
 
 
+@pytest.mark.parametrize("limit", [64, 4])
+def test_groups_of_a_dense_cloud(spark, monkeypatch, limit):
+    """Prints that differ in a few loose bits share many keys; beyond the limit the finer keys and then the blocks must find the same groups."""
+    monkeypatch.setattr(simhash, "LIMIT", limit)
+    rng = random.Random(limit)
+    prints = set()
+    for loose in (14, 17, 20):
+        center, bits = rng.getrandbits(64), rng.sample(range(64), loose)
+        for _ in range(200):
+            prints.add(center ^ sum(1 << b for b in bits if rng.random() < 0.3))
+    prints = sorted(prints)
+    signed = [(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(prints)]
+    found = simhash.groups(spark.createDataFrame(signed, "doc_id long, fp long")).collect()
+    by = {r.fp % 2**64: r.component_id for r in found}
+    want = plain_groups(prints)
+    assert [by[p] for p in prints] == want and 3 < len(set(want)) < len(prints)
+
+
+def test_forest_in_parts(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    fps = np.array(sorted({sum(1 << b for b in range(12) if rng.random() < 0.3) for _ in range(300)}), np.uint64)
+    run, start = np.zeros(len(fps), np.int64), np.full(len(fps), 2)
+    whole = [x.tolist() for x in simhash.forest(fps, run, start)]
+    monkeypatch.setattr(simhash, "HELD_PAIRS", 50)
+    assert [x.tolist() for x in simhash.forest(fps, run, start)] == whole and len(whole[0]) > 100
+
+
 def test_runs_beyond_the_limit():
     import numpy as np
     import pyarrow as pa
@@ -232,6 +261,29 @@ def test_one_of_each(spark):
     kept = sorted((r.doc_id, r.root) for r in simhash.one_of_each(docs).collect())
     assert kept == [(3, "q"), (7, "r"), (9, "u")]
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+    # equal ids with equal fingerprints: the smallest text, then the other columns
+    docs = spark.createDataFrame([(2, "x Y z", "1"), (2, "X y z", "3"), (2, "X y z", "2"), (2, a, "4"), (1, b, "5")], "doc_id int, text string, `a.b` string")
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect())) == [(1, b, "5"), (2, "X y z", "2"), (2, a, "4")]
+
+
+def test_temporaries_go(spark):
+    from pathlib import Path
+
+    from quern.llm.common import stored, temporaries
+    from quern.sources import scratch
+
+    base = Path(scratch.folder(spark).removeprefix("file:")).parent
+    before = set(base.glob("quern-*"))
+    with temporaries(spark):
+        with temporaries(spark):
+            middle = stored(stored(spark.range(5), "one").filter("id > 1"), "two")
+        out = stored(middle.filter("id > 2"), "three")
+    assert [r.id for r in out.sort("id").collect()] == [3, 4]
+    assert [p.name.rsplit("-", 1)[1] for p in set(base.glob("quern-*")) - before] == ["three"]
+    with pytest.raises(ValueError), temporaries(spark):
+        stored(spark.range(5), "four")
+        raise ValueError
+    assert not list(base.glob("*-four"))
 
 
 def test_queries_digest(spark):
