@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower, stored
+from quern.llm.common import ascii_lower, quoted, stored
 
 # The kinds in order, with the pattern of each.
 PATTERNS = {
@@ -41,9 +41,8 @@ PATTERNS = {
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 MIN_LETTERS = 4
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
-#: Rows up to which a table of terms is broadcast; a row is a word or a document key with a few words.
-BROADCAST_ROWS = 100_000
-
+#: Rows and bytes up to which a table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 #: Elements that one step of a running sum adds to an array.
 BLOCK = 256
@@ -175,9 +174,17 @@ def pairs_of(seen: DataFrame, terms: DataFrame) -> DataFrame:
     return some.select(*rest, "term", F.explode("entities").alias("entity"))
 
 
-def within(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, if counting shows that the written table has few rows."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+def fits(small: DataFrame) -> bool:
+    """Whether a written table is small enough to broadcast, in rows and in bytes; both are summed on the executors."""
+    wide = {"string": F.octet_length, "bigint": lambda c: F.lit(8), "double": lambda c: F.lit(8)}
+    size = sum((F.coalesce(wide.get(kind, lambda c: F.octet_length(F.to_json(c)))(F.col(name)), F.lit(0)) for name, kind in small.dtypes), F.lit(0))
+    n, size = small.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def within(small: DataFrame) -> DataFrame:
+    """A broadcast hint, if the written table fits."""
+    return F.broadcast(small) if fits(small) else small
 
 
 def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
@@ -210,7 +217,7 @@ def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
     wanted = stored(known.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(terms_of(ascii_lower(text_of(docs))))).alias("term"))
     # where the wanted terms are few, only these are counted; else each word goes once a task to the join, however frequent it is
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = fits(wanted)
     if few:
         words = words.join(F.broadcast(wanted), "term")
     words = words.groupBy("term").agg(F.count("*").alias("n_term"))
@@ -279,4 +286,4 @@ def sanitised(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     label = lambda s: F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "<TERM>").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     marked = marked.withColumn("__quern_spans", spans)
     text = F.when(F.size("__quern_spans") > 0, replaced(F.col(TEXT), F.col("__quern_spans"), label)).otherwise(F.col("text").cast("string"))
-    return marked.select(*(text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return marked.select(*(text.alias(c) if c.lower() == "text" else q for c, q in zip(docs.columns, quoted(docs.columns), strict=True)))

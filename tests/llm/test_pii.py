@@ -119,3 +119,12 @@ def test_overlapping_spans(spark):
     assert [k for k, *_ in plain_spans(text)] == ["email", "ip", "ip", "phone"]
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert pii.sanitised(docs).first().text == "call <PHONE> now é<EMAIL>"
+
+
+def test_tables_too_large_to_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"write to zebra{'xyz'[i % 3]}@x.org about xylophones and the cartographer{'xyz'[i % 3]}, note {i}") for i in range(40)], "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, pii.with_spans(docs, pii.Policy(generalise=0.1)).select("doc_id", pii.written(pii.F.col(pii.TERMS))).collect()))
+    small = rows()
+    assert any(spans for _, spans in small)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
+    assert not pii.fits(docs) and rows() == small

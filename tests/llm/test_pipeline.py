@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 from quern.llm import quality
@@ -55,8 +56,8 @@ def test_pipeline(spark, tmp_path):
 def test_clashing_columns_pass_through(spark):
     rng = random.Random(3)
     text = prose(rng, 80) + " me@x.org"
-    names = ["doc_id", "text", "lang", "source", "n_chars", "_text", "_base", "_row", "_sha", "_id", "_terms", "fp", "_fp", "root", "key", "ids", "bad_id", "words", "sha"]
-    docs = spark.createDataFrame([(1, text, "en", "s", len(text), *names[5:]), (1, text, "en", "s", len(text), *names[5:]), (None, None, None, None, None, *names[5:])], ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_text", "_base", "_row", "_sha", "_id", "_terms", "fp", "_fp", "root", "key", "ids", "bad_id", "words", "sha", "a.b", "c`d"]
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text), *names[5:]), (1, text, "en", "s", len(text), *names[5:]), (None, None, None, None, None, *names[5:])], StructType([StructField(n, LongType() if n in ("doc_id", "n_chars") else StringType()) for n in names]))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == names
