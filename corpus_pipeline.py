@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import stages
-from quern.llm.common import stored
+from quern.llm.common import stored, temporaries
 
 STAGES = [
     ("quality_rules", stages.quality_stage),
@@ -20,8 +20,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each over all that the one before kept, written and read between them."""
+    """Applies the stages to documents, each over all that the one before kept, written and read between them. Of the tables written on the way only the result stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    with temporaries(spark):
+        for name, stage in STAGES:
+            with temporaries(spark):
+                docs = stored(stage(spark, docs, sf_dir), name)
     return docs
