@@ -41,6 +41,8 @@ PATTERNS = {
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 MIN_LETTERS = 4
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
+#: What each text with a valid base span has, and few others have.
+MAYBE = r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]|\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:\.[0-9]++\.[0-9]++\.[0-9]|(?:[\x20-]?[0-9]){15})"
 #: Rows and bytes up to which a table is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
@@ -160,11 +162,23 @@ def text_of(docs: DataFrame) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """For each row of docs: doc_id, sha (of its text), its distinct entities and, if it has any, its distinct terms."""
+    """For each row of docs: doc_id, its distinct entities and, if it has any, sha (of its text), its distinct terms, and masked: its text
+    with A-Z lowered and each character that an entity covers as X, a letter that no term has."""
     base = with_base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), text_of(docs))
+    some = F.size(BASE) > 0
+    by_start = F.array_sort(F.transform(BASE, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    base = base.withColumn("lower", F.when(some, ascii_lower(F.col(TEXT)))).withColumn("spans", merged(by_start))
     entities = F.array_distinct(F.transform(BASE, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
-    terms = F.when(F.size(BASE) > 0, F.array_distinct(terms_of(ascii_lower(F.col(TEXT))))).otherwise(F.array().cast("array<string>"))
-    return base.select("doc_id", F.sha2(TEXT, 256).alias("sha"), entities.alias("entities"), terms.alias("terms"))
+    terms = F.when(some, F.array_distinct(terms_of(F.col("lower")))).otherwise(F.array().cast("array<string>"))
+    masked = F.when(some, replaced(F.col("lower"), F.col("spans"), lambda s: F.repeat(F.lit("X"), s["stop"] - s["start"])))
+    return base.select("doc_id", F.when(some, F.sha2(TEXT, 256)).alias("sha"), entities.alias("entities"), terms.alias("terms"), masked.alias("masked"))
+
+
+def different(seen: DataFrame) -> DataFrame:
+    """The different texts with entities of mentions(): a number (at), sha, n (rows with this text), entities, terms and masked. Equal texts have equal ones."""
+    rest = (F.first(c).alias(c) for c in ("entities", "terms", "masked"))
+    found = seen.filter(F.size("entities") > 0).groupBy("sha").agg(F.count("*").alias("n"), *rest)
+    return stored(found.withColumn("at", F.monotonically_increasing_id()), "texts")
 
 
 def pairs_of(seen: DataFrame, terms: DataFrame) -> DataFrame:
@@ -187,13 +201,12 @@ def within(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if fits(small) else small
 
 
-def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
-    """(entity, term, disclosure) of the pairs whose disclosure reaches the lower threshold; seen is mentions(docs)."""
-    seen = seen.select("sha", "entities", "terms")
+def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy, texts: DataFrame | None = None) -> DataFrame:
+    """(entity, term, disclosure) of the pairs whose disclosure reaches the lower threshold; seen is mentions(docs), texts is different(seen)."""
     n_docs = seen.count()
-    seen = seen.filter(F.size("entities") > 0)
-    entities = seen.select("sha", F.explode("entities").alias("entity")).groupBy("entity", "sha").agg(F.count("*").alias("n"))
-    entities = stored(entities.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")), "entities")
+    texts = (different(seen) if texts is None else texts).select("n", "entities", "terms")
+    entities = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity")
+    entities = stored(entities.agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")), "entities")
     most = entities.agg(F.max("n_entity")).first()[0] or 0
 
     def share(n_term: str) -> Column:
@@ -203,11 +216,9 @@ def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
 
     # a term is in at least the documents where it meets any entity, so these bound its disclosure from above, and that for the
     # most frequent entity bounds all: words that meet many entities are out before pairs are made and the corpus is counted
-    around = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    around = texts.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n_near"))
     bound = F.log(F.lit(n_docs) / F.col("n_near")) >= policy.generalise * math.log(n_docs / most) - 1e-9 if 0 < most < n_docs else F.lit(True)
     around = stored(around.filter(bound), "around")
-    # equal texts have equal pairs
-    texts = seen.groupBy("sha").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")).drop("sha")
     both = pairs_of(texts, around.select("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("both"))
     known = both.join(within(entities), "entity").filter((F.col("both") >= policy.texts) | (2 * F.col("both") >= F.col("texts")))
     known = known.join(within(around), "term").filter(share("n_near") >= policy.generalise)
@@ -226,33 +237,24 @@ def disclosures(docs: DataFrame, seen: DataFrame, policy: Policy) -> DataFrame:
 
 
 def revealing(docs: DataFrame, policy: Policy) -> DataFrame | None:
-    """(doc_id, sha, terms) of the documents with revealing terms: spans of these outside base spans, of kind `generalise` or `remove`;
-    None if there are none."""
+    """(sha, terms) of the texts with revealing terms: spans of these outside base spans, of kind `generalise` or `remove`; None if there are none."""
     seen = stored(mentions(docs), "mentions")
-    told = stored(disclosures(docs, seen, policy), "told")
+    texts = different(seen)
+    told = stored(disclosures(docs, seen, policy, texts), "told")
     if told.isEmpty():
         return None
     known = stored(told.select("term").distinct(), "told-terms")
-    mine = pairs_of(seen.filter(F.size("entities") > 0), known).join(within(told), ["entity", "term"])
-    mine = stored(mine.groupBy("doc_id", "sha", "term").agg(F.max("disclosure").alias("disclosure")), "mine")
-    keys = stored(mine.select("doc_id", "sha").distinct(), "keys")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("sha", F.sha2("text", 256))
-    keyed = keyed.join(within(keys.withColumnsRenamed({"doc_id": "k", "sha": "s"})), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("sha") == F.col("s")), "left_semi")
-    base = with_base_spans(keyed, F.col("text"))
-    # what an entity covers already is the entity's: its characters become X, a letter that no term has
-    by_start = F.array_sort(F.transform(BASE, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    base = base.withColumn("spans", merged(by_start)).withColumn("lower", ascii_lower(F.col("text")))
-    masked = replaced(F.col("lower"), F.col("spans"), lambda s: F.repeat(F.lit("X"), s["stop"] - s["start"]))
-    base = stored(base.select("doc_id", "sha", masked.alias("masked")), "masked")
-    runs = stored(base.select("doc_id", "sha", "masked", terms_of(F.col("masked")).alias("found")).select("doc_id", "sha", located(F.col("masked"), F.col("found"), F.lit(TERM), "term").alias("runs")), "runs")
-    words = runs.select("doc_id", "sha", F.explode("runs").alias("run")).select("doc_id", "sha", "run.start", "run.stop", F.col("run.value").alias("term"))
-    same = F.col("w.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("w.sha") == F.col("m.sha")) & (F.col("w.term") == F.col("m.term"))
-    hits = words.alias("w").join(within(mine).alias("m"), same)
-    kind = F.when(F.col("m.disclosure") >= policy.remove, "remove").otherwise("generalise")
-    span = F.struct("w.start", "w.stop", kind.alias("kind"), F.col("w.term").alias("value"))
-    spans = hits.groupBy("w.doc_id", "w.sha").agg(F.array_sort(F.collect_set(span)).alias("terms"))
+    mine = pairs_of(texts.select("at", "entities", "terms"), known).join(within(told), ["entity", "term"])
+    mine = stored(mine.groupBy("at", "term").agg(F.max("disclosure").alias("disclosure")), "mine")
+    # what an entity covers already is the entity's
+    runs = stored(texts.select("at", "masked", terms_of(F.col("masked")).alias("found")).select("at", located(F.col("masked"), F.col("found"), F.lit(TERM), "term").alias("runs")), "runs")
+    words = runs.select("at", F.explode("runs").alias("run")).select("at", "run.start", "run.stop", F.col("run.value").alias("term"))
+    hits = words.join(within(mine), ["at", "term"])
+    kind = F.when(F.col("disclosure") >= policy.remove, "remove").otherwise("generalise")
+    span = F.struct("start", "stop", kind.alias("kind"), F.col("term").alias("value"))
+    spans = hits.groupBy("at").agg(F.array_sort(F.collect_set(span)).alias("terms"))
     ordered = F.transform("terms", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
-    return stored(spans.select("doc_id", "sha", ordered.alias("terms")), "revealing")
+    return stored(spans.join(texts.select("at", "sha"), "at").select("sha", ordered.alias("terms")), "revealing")
 
 
 def merged(spans: Column) -> Column:
@@ -267,11 +269,13 @@ def with_spans(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     none = F.array().cast(f"array<{SPAN}>")
     if found is None:
         return with_base_spans(docs, text_of(docs)).withColumn(TERMS, none)
-    keyed = docs.withColumn("__quern_sha", F.sha2(text_of(docs), 256))
-    mine = within(found).select(F.col("doc_id").alias("__quern_id"), F.col("sha").alias("__quern_other"), F.col("terms").alias(TERMS))
-    joined = keyed.join(mine, F.col("doc_id").cast("long").eqNullSafe(F.col("__quern_id")) & (F.col("__quern_sha") == F.col("__quern_other")), "left")
-    joined = joined.drop("__quern_id", "__quern_other", "__quern_sha")
-    return with_base_spans(joined, text_of(joined)).withColumn(TERMS, F.coalesce(TERMS, none))
+    # texts without entities have no spans of either sort, so they need no join; those with them are joined by what they say
+    maybe = text_of(docs).rlike(MAYBE)
+    mine = within(found).select(F.col("sha").alias("__quern_other"), F.col("terms").alias("__quern_found"))
+    keyed = docs.filter(maybe).withColumn("__quern_sha", F.sha2(text_of(docs), 256))
+    joined = keyed.join(mine, F.col("__quern_sha") == F.col("__quern_other"), "left").drop("__quern_other", "__quern_sha")
+    marked = with_base_spans(joined, text_of(joined)).withColumn(TERMS, F.coalesce("__quern_found", none)).drop("__quern_found")
+    return marked.union(docs.filter(~maybe).withColumn(TEXT, text_of(docs)).withColumn(BASE, none).withColumn(TERMS, none))
 
 
 def written(spans: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 
@@ -128,3 +129,34 @@ def test_tables_too_large_to_broadcast(spark, monkeypatch):
     assert any(spans for _, spans in small)
     monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
     assert not pii.fits(docs) and rows() == small
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_entities_are_not_shuffled(spark, monkeypatch):
+    """Random words of three letters make no terms, so that only the joins could ship them."""
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
+    rng = random.Random(5)
+    plain = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(20_000)) for _ in range(40)]
+    texts = [*plain, *(f"write to zebra@x.org about xylophones, {k}" for k in range(4)), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = shuffled(spark)
+    rows = {r.doc_id: r for r in pii.with_spans(docs).collect()}
+    assert shuffled(spark) - at < 500_000 < sum(map(len, plain)) / 4
+    assert len(rows) == len(texts) and rows[44].text is None and rows[44][pii.TEXT] == ""
+    assert all(rows[k][pii.TEXT] == t and not rows[k][pii.BASE] and not rows[k][pii.TERMS] for k, t in enumerate(plain))
+    assert all({"about", "xylophones"} <= {s.value for s in rows[k][pii.TERMS]} and [s.kind for s in rows[k][pii.BASE]] == ["email"] for k in range(40, 44))
+
+
+def test_maybe_has_all_texts_with_spans(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(("1", "23", ".", " ", "-", "+", "@", "a", "a.b", "(", "4111 1111 1111 1111", "\n"), k=rng.randint(1, 14))) for _ in range(20_000)]
+    some = {t for t in texts if plain_spans(t)}
+    kept = {r.text for r in spark.createDataFrame([(t,) for t in texts], "text string").filter(pii.F.col("text").rlike(pii.MAYBE)).collect()}
+    assert len(some) > 1000 and some <= kept < set(texts)
