@@ -468,18 +468,26 @@ class Query:
         return n
 
     def chunk_by_id(self, size: int, callback: Callable[[list[Row]], object], column: str | None = None) -> int:
-        """Keyset chunks: each is a top-k query above the last key, so rows that the callback changes do not shift later chunks."""
-        key = column or self.model.meta.key.name
-        base, last, n = replace(self, orders=(), most=None, skipped=0), None, 0
-        while True:
-            df = base.df() if last is None else base.df().filter(F.col(key) > F.lit(last))
-            part = df.orderBy(key).limit(size).collect()
-            if not part:
-                return n
+        """Hands over all rows in lists of `size` by key, from one sorted pass whose shuffle is done before the first list; a callback that returns
+        False ends it. Each row goes to the driver once. Returns the number of lists."""
+        df, key = self._by_id(column)
+        rows, n = df.orderBy(key).toLocalIterator(prefetchPartitions=True), 0
+        while part := list(islice(rows, size)):
             n += 1
-            last = part[-1][key]
-            if callback(part) is False or len(part) < size:
-                return n
+            if callback(part) is False:
+                break
+        return n
+
+    def _by_id(self, column: str | None) -> tuple[DataFrame, str]:
+        key = column or self.model.meta.key.name
+        return replace(self, orders=(), most=None, skipped=0).df(), key
+
+    def chunks_by_id(self, size: int, column: str | None = None) -> DataFrame:
+        """The chunks of chunk_by_id() as rows (chunk, n, first_id, last_id), counted on the executors: no row of theirs goes to the driver, and
+        where_between() on the ids reads a chunk wherever it is worked on."""
+        df, key = replace(self, eager=())._by_id(column)
+        placed = numbered(df.select(F.col(key).alias("_id")), [F.col("_id")], "_position").withColumn("chunk", F.floor(F.col("_position") / size).cast("long"))
+        return placed.groupBy("chunk").agg(F.count("*").alias("n"), F.min("_id").alias("first_id"), F.max("_id").alias("last_id"))
 
     def chunked(self, size: int, name: str = "chunk") -> DataFrame:
         """The rows with their chunk number in the query's order, for work that stays distributed."""

@@ -456,9 +456,7 @@ def chunk_sizes(c):
 
 @query("select chunk, count(*) as n, min(o_orderkey) as first_id, max(o_orderkey) as last_id from (select o_orderkey, cast(floor((row_number() over (order by o_orderkey) - 1) / 4000) as bigint) as chunk from orders) t group by chunk")
 def chunk_by_id_summary(c):
-    rows = []
-    c.query(Order).select("o_orderkey").chunk_by_id(4000, lambda part: rows.append((len(rows), len(part), part[0][0], part[-1][0])))
-    return c.spark.createDataFrame(rows, "chunk long, n long, first_id long, last_id long")
+    return c.query(Order).select("o_orderkey").chunks_by_id(4000)
 
 
 # --- models, scopes, soft deletes ---------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from quern.model import Field, Model, NotFound, Scope, without_scopes
 from quern.operators import rawsql
 from quern.operators.positions import numbered
 from quern.operators.query import Query, top_level
+from quern.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -123,6 +124,45 @@ def test_chunks(c):
     assert numbered(c.table("things").limit(0)).count() == 0
 
 
+def rows_on_the_driver(spark, monkeypatch, run):
+    """The most rows that one collect() or toLocalIterator() brings to the driver while run() makes its plan."""
+    most, frame = [0], type(spark.range(0))
+
+    def counted(name):
+        made = getattr(frame, name)
+
+        def taken(self, *rest, **named):
+            out = list(made(self, *rest, **named))
+            most[0] = max(most[0], len(out))
+            return iter(out) if name == "toLocalIterator" else out
+
+        return taken
+
+    for name in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(frame, name, counted(name))
+    run()
+    monkeypatch.undo()
+    return most[0]
+
+
+def test_keyset_chunks_are_one_pass(spark, monkeypatch):
+    """Jobs do not grow with the chunks, and equal keys or nulls on the border of two chunks lose no row."""
+    keys = [None, None, None, *(k // 3 for k in range(57))]
+    q = Query(spark.createDataFrame([(k,) for k in keys], "id int"), "t")
+    seen = []
+    spark.sparkContext.setJobGroup("chunks", "chunks")
+    try:
+        assert q.chunk_by_id(2, lambda part: seen.append([r.id for r in part]), "id") == 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [k for part in seen for k in part] == keys and len(spark.sparkContext.statusTracker().getJobIdsForGroup("chunks")) < 15
+    want = [(i, len(p), min((k for k in p if k is not None), default=None), max((k for k in p if k is not None), default=None)) for i, p in enumerate(seen)]
+    assert sorted(map(tuple, q.chunks_by_id(2, "id").collect())) == want
+    assert q.limit(0).chunks_by_id(7, "id").agg(F.sum("n")).first()[0] == 60 and q.where("id", 99).chunks_by_id(7, "id").count() == 0
+    assert rows_on_the_driver(spark, monkeypatch, lambda: spark.range(7).collect()) == 7
+    assert rows_on_the_driver(spark, monkeypatch, lambda: catalogue.QUERIES["chunk_by_id_summary"](spark, SF)) < 100
+
+
 def test_numbering_is_dense(spark):
     # many rows for each partition, so that range bounds come from a sample
     df = numbered(spark.range(200_000).repartition(3), [F.desc("id")])
