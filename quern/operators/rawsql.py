@@ -12,6 +12,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from quern.operators.positions import numbered
+
 if TYPE_CHECKING:
     from quern.context import Context
 
@@ -118,7 +120,7 @@ def each(df: DataFrame, callback: Callable[[Row], object]) -> int:
 
 
 def batched(df: DataFrame, callback: Callable[[list[Row]], object], size: int = ROWS) -> int:
-    """Lists of `size` rows, each a new list, the last one as long as it is; returns the number of rows."""
+    """Lists of `size` rows, each a new list, the last one as long as it is; returns the number of rows. All rows go through the driver: batches() keeps them off it."""
     rows, n, size = df.toLocalIterator(prefetchPartitions=True), 0, size if size >= 1 else ROWS
     while part := list(islice(rows, size)):
         callback(part)
@@ -126,6 +128,12 @@ def batched(df: DataFrame, callback: Callable[[list[Row]], object], size: int =
     return n
 
 
+def batches(df: DataFrame, size: int = ROWS, name: str = "batch") -> DataFrame:
+    """The rows with the number of their batch of `size` in df's own order, for work on batches that stays on the executors."""
+    size = size if size >= 1 else ROWS
+    return numbered(df, name="__quern_position").withColumn(name, F.floor(F.col("__quern_position") / size).cast("long")).drop("__quern_position")
+
+
 def searched(df: DataFrame, column: str, value: int) -> DataFrame:
     return df.filter(F.col(column) == F.lit(value))
 

@@ -677,9 +677,7 @@ def read_paged(c):
 
 @query("select batch, count(*) as n from (select cast(floor((row_number() over (order by o_orderkey) - 1) / 4000) as bigint) as batch from orders) t group by batch")
 def read_batches(c):
-    sizes = []
-    rawsql.batched(c.table("orders").select("o_orderkey"), lambda part: sizes.append(len(part)), 4000)
-    return c.spark.createDataFrame(list(enumerate(sizes)), "batch long, n long")
+    return rawsql.batches(c.table("orders").select("o_orderkey"), 4000).groupBy("batch").agg(F.count("*").alias("n"))
 
 
 @query("select coalesce(max(o_orderkey), 0) as last_key from orders")

@@ -163,6 +163,15 @@ def test_keyset_chunks_are_one_pass(spark, monkeypatch):
     assert rows_on_the_driver(spark, monkeypatch, lambda: catalogue.QUERIES["chunk_by_id_summary"](spark, SF)) < 100
 
 
+def test_batches_stay_on_the_executors(spark, monkeypatch):
+    df = spark.range(50).repartition(3).select(F.col("id").alias("batch"))
+    sizes = [r["count"] for r in rawsql.batches(df, 8, "part").groupBy("part").count().orderBy("part").collect()]
+    assert sizes == [8] * 6 + [2] and rawsql.batches(df, 0, "part").agg(F.max("part"), F.countDistinct("batch")).first() == (0, 50)
+    assert [r.part for r in rawsql.batches(df.orderBy("batch"), 8, "part").orderBy("batch").collect()] == [k // 8 for k in range(50)]
+    assert rawsql.batches(df.limit(0), 8).count() == 0
+    assert rows_on_the_driver(spark, monkeypatch, lambda: catalogue.QUERIES["read_batches"](spark, SF)) < 100
+
+
 def test_numbering_is_dense(spark):
     # many rows for each partition, so that range bounds come from a sample
     df = numbered(spark.range(200_000).repartition(3), [F.desc("id")])
