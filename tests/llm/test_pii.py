@@ -146,8 +146,12 @@ def test_texts_without_entities_are_not_shuffled(spark, monkeypatch):
     plain = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(20_000)) for _ in range(40)]
     texts = [*plain, *(f"write to zebra@x.org about xylophones, {k}" for k in range(4)), None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    at = shuffled(spark)
-    rows = {r.doc_id: r for r in pii.with_spans(docs).collect()}
+    at, least = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = {r.doc_id: r for r in pii.with_spans(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
     assert shuffled(spark) - at < 500_000 < sum(map(len, plain)) / 4
     assert len(rows) == len(texts) and rows[44].text is None and rows[44][pii.TEXT] == ""
     assert all(rows[k][pii.TEXT] == t and not rows[k][pii.BASE] and not rows[k][pii.TERMS] for k, t in enumerate(plain))
