@@ -115,7 +115,7 @@ RULES: dict[str, tuple[Rule, bool]] = {
     "date": (lambda c, a, f: moment(c).isNotNull(), False),
     "min": (lambda c, a, f: size(c) >= F.lit(a[0]).cast("decimal(38,18)"), True),
     "max": (lambda c, a, f: size(c) <= F.lit(a[0]).cast("decimal(38,18)"), True),
-    "between": (lambda c, a, f: size(c).between(F.lit(a[0]).cast("decimal(38,18)"), F.lit(a[1]).cast("decimal(38,18)")), False),
+    "between": (lambda c, a, f: size(c).between(F.lit(a[0]).cast("decimal(38,18)"), F.lit(a[1]).cast("decimal(38,18)")), True),
     "length": (lambda c, a, f: F.length(F.coalesce(as_text(c), F.lit(""))) == int(a[0]), True),
     "alpha": (lambda c, a, f: as_text(c).rlike(f"^[{LETTERS}]+$"), False),
     "alpha_num": (lambda c, a, f: as_text(c).rlike(f"^[{LETTERS}0-9]+$"), False),

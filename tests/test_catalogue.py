@@ -43,6 +43,29 @@ def test_query(spark, duck, name):
     assert sorted(rows, key=key) == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=key)
 
 
+#: texts that read as numbers, at both borders of the rules' bounds, empty and null
+ODD = [None, "", " ", "500", " 500 ", "1,000", "9999999999", "-123456789", "10.5", "1e3", "\n50", "7" * 18, "7" * 19, "7" * 1000, "7" * 1001, "é" * 9, "é" * 10, "é" * 1000, "é" * 1001, "🤦🏼\u200d♂️" * 2]
+
+
+@pytest.mark.parametrize(
+    "name, table, schema, rows",
+    [
+        ("valid_length", "documents", "doc_id long, text string", [(i, t) for i, t in enumerate(ODD)]),
+        ("valid_errors", "customer", "c_custkey long, c_name string, c_mktsegment string, c_acctbal double", [(i, t, ["BUILDING", "x", None][i % 3], [-1.5, 0.0, None, 7.25][i % 4]) for i, t in enumerate(ODD)]),
+    ],
+)
+def test_lengths_of_odd_texts(spark, tmp_path, name, table, schema, rows):
+    for t in catalogue.TABLES:
+        if t != table:
+            os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    want = con.sql(catalogue.ORACLES[name])
+    assert want.columns == df.columns and sorted(map(plain, df.collect())) == sorted(map(plain, want.fetchall()))
+
+
 def test_entry(spark):
     assert 0 < __spark_entry__.entry(spark).count() <= 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

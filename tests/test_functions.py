@@ -134,6 +134,11 @@ def test_rules(spark, rule, good, bad):
     assert not wrong
 
 
+def test_between_looks_at_empty_values(spark):
+    df = spark.createDataFrame([(None,), ("",), ("abc",)], "x string")
+    assert [[r.ok for r in df.select(validation.passes("x", "between", [low, "4"]).alias("ok")).collect()] for low in ("2", "0")] == [[False, False, True], [True, True, True]]
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("Ann", "Abcdefg1", "Abcdefg1", 5), ("", "short", "other", -1)], "name string, pw string, pw_confirmation string, n int")
     rules = {"name": "required|max:10", "pw": ["password", "confirmed", "regex:^[A-Za-z0-9|:,]+$"], "n": "min:0"}
